@@ -130,11 +130,16 @@ def follow(graph: Graph, ids: DataFrame, hop: Hop) -> DataFrame:
     )
 
 
-def matching(graph: Graph, where: EntityFilter, version: str | None = None) -> DataFrame:
-    """Ids of the entities that pass the filter, then moved along its hops."""
-    found = graph.entities.select("id")
+def narrow(
+    graph: Graph,
+    rows: DataFrame,
+    where: EntityFilter,
+    column: str = "id",
+    version: str | None = None,
+) -> DataFrame:
+    """Keep the rows whose entity in ``column`` passes the filter; hops are not followed."""
     if where.id is not None:
-        found = found.filter(where.id.on("id"))
+        rows = rows.filter(where.id.on(column))
     sides = [with_attribute(graph, has) for has in where.attributes]
     sides += [with_relation(graph, has) for has in where.relations]
     if where.types:
@@ -142,9 +147,16 @@ def matching(graph: Graph, where: EntityFilter, version: str | None = None) -> D
     if where.space_id is not None:
         sides.append(in_spaces(graph, where.space_id, version))
     for side in sides:
-        found = found.join(side, "id", "left_semi")
+        rows = rows.join(side.withColumnRenamed("id", column), column, "left_semi")
     if where.not_types:
-        found = found.join(of_types(graph, where.not_types, version), "id", "left_anti")
+        others = of_types(graph, where.not_types, version).withColumnRenamed("id", column)
+        rows = rows.join(others, column, "left_anti")
+    return rows
+
+
+def matching(graph: Graph, where: EntityFilter, version: str | None = None) -> DataFrame:
+    """Ids of the entities that pass the filter, then moved along its hops."""
+    found = narrow(graph, graph.entities.select("id"), where, version=version)
     for hop in where.hops:
         found = follow(graph, found, hop)
     return found
@@ -168,7 +180,10 @@ def find(
 
     Ordering by an attribute drops entities without it. Ids break ties.
     """
-    nodes = graph.entities.join(matching(graph, where, version), "id", "left_semi")
+    if where.hops:
+        nodes = graph.entities.join(matching(graph, where, version), "id", "left_semi")
+    else:
+        nodes = narrow(graph, graph.entities, where, version=version)
     order = [F.col("id")]
     if order_by is not None:
         sort_value = (
@@ -213,19 +228,17 @@ def hydrate(
     ids = nodes.select("id")
     attributes = (
         graph.triples.filter(all_of([snapshot(version), *in_space]))
-        .withColumnRenamed("entity", "id")
+        .select(F.col("entity").alias("id"), F.lit("attribute").alias("kind"),
+                F.col("attribute").alias("key"), "value", "value_type", "space_id")
         .join(ids, "id", "left_semi")
-        .select("id", F.lit("attribute").alias("kind"), F.col("attribute").alias("key"),
-                "value", "value_type", "space_id")
     )
     is_type = F.col("relation_type") == graph.vocabulary.types
     types = (
         graph.relations.filter(all_of([snapshot(version), is_type, *in_space]))
-        .withColumnRenamed("from_id", "id")
-        .join(ids, "id", "left_semi")
-        .select("id", F.lit("type").alias("kind"), F.col("to_id").alias("key"),
-                F.lit(None).cast("string").alias("value"),
+        .select(F.col("from_id").alias("id"), F.lit("type").alias("kind"),
+                F.col("to_id").alias("key"), F.lit(None).cast("string").alias("value"),
                 F.lit(None).cast("string").alias("value_type"), "space_id")
+        .join(ids, "id", "left_semi")
     )
     return nodes.join(attributes.unionByName(types), "id", "left")
 

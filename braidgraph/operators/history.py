@@ -8,7 +8,7 @@ come first, then deletes, relation creations and relation deletions.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidgraph.plans.skew import HOT_ROWS, with_time_slice
+from braidgraph.plans.skew import HOT_ROWS, hot_slots, with_time_slice
 from braidgraph.vocabulary import (
     CREATE_RELATION,
     DELETE_RELATION,
@@ -56,7 +56,25 @@ def _intervals(ops: DataFrame, key: list[str], opening: str, hot_rows: int) -> D
     another at the same version is superseded; closing operations only end the row
     before them.
     """
-    sliced = with_time_slice(ops, key, "position", hot_rows)
+    hot = hot_slots(ops, key, hot_rows)
+    if not hot:
+        following = F.lead("version").over(Window.partitionBy(*key).orderBy(*ORDER))
+        rows = ops.withColumn("max_version", following)
+    else:
+        rows = _sliced_lead(with_time_slice(ops, key, "position", hot), key)
+    return (
+        rows.filter(F.col("op_type") == opening)
+        .filter(F.col("max_version").isNull() | (F.col("max_version") != F.col("version")))
+        .withColumnRenamed("version", "min_version")
+    )
+
+
+def _sliced_lead(sliced: DataFrame, key: list[str]) -> DataFrame:
+    """The next version of each row where hot keys are split over several tasks.
+
+    Rows look ahead within their slice; the last row of a slice takes the first version
+    of the next slice of its key, from a table with one row per hot key and slice.
+    """
     in_slice = Window.partitionBy(*key, "slice").orderBy(*ORDER)
     across = Window.partitionBy(*key).orderBy("slice")
     following = (
@@ -72,9 +90,6 @@ def _intervals(ops: DataFrame, key: list[str], opening: str, hot_rows: int) -> D
         .withColumn(
             "max_version", F.coalesce(F.col("next_version"), F.col("next_slice_version"))
         )
-        .filter(F.col("op_type") == opening)
-        .filter(F.col("max_version").isNull() | (F.col("max_version") != F.col("version")))
-        .withColumnRenamed("version", "min_version")
         .drop("slice", "next_version", "next_slice_version")
     )
 

@@ -105,13 +105,11 @@ def find(
         )
         for name, condition in (where or {}).items()
     ]
-    ids = entities.matching(
-        graph, entities.EntityFilter(attributes=filters, types=[type_id]), version
-    )
     current = graph.triples.filter(snapshot(version))
     if space_id is not None:
         current = current.filter(F.col("space_id") == space_id)
-    current = current.join(ids.withColumnRenamed("id", "entity"), "entity", "left_semi")
+    wanted = entities.EntityFilter(attributes=filters, types=[type_id])
+    current = entities.narrow(graph, current, wanted, "entity", version)
     rows = to_wide(current, fields).filter(complete(fields))
     if limit is None and not skip:
         return rows

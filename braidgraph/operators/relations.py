@@ -24,13 +24,11 @@ class RelationFilter:
 
 
 def _end(found: DataFrame, graph: Graph, column: str, where: EntityFilter) -> DataFrame:
-    """Filter one end: an id condition is a column predicate, the rest a semi join."""
-    if where.id is not None:
-        found = found.filter(where.id.on(column))
-    if where == EntityFilter(id=where.id):
-        return found
-    ids = entities.matching(graph, where).withColumnRenamed("id", column)
-    return found.join(ids, column, "left_semi")
+    """Filter one end as an entity; the ends of a relation always exist."""
+    if where.hops:
+        ids = entities.matching(graph, where).withColumnRenamed("id", column)
+        return found.join(ids, column, "left_semi")
+    return entities.narrow(graph, found, where, column)
 
 
 def find(

@@ -19,37 +19,33 @@ def slot(*keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
 
 
+def hot_slots(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """Slots whose keys hold more than ``hot_rows`` rows: at most ``SLOTS`` numbers."""
+    counted = df.groupBy(slot(*keys).alias("slot")).agg(F.count(F.lit(1)).alias("rows"))
+    return [row["slot"] for row in counted.filter(F.col("rows") > hot_rows).collect()]
+
+
 def with_time_slice(
-    df: DataFrame,
-    keys: list[str],
-    position: str,
-    hot_rows: int = HOT_ROWS,
-    slices: int = SLICES,
+    df: DataFrame, keys: list[str], position: str, hot: list[int], slices: int = SLICES
 ) -> DataFrame:
     """Add ``slice``: 0 for ordinary keys, 1..``slices`` along ``position`` for hot ones.
 
     ``slice`` grows with ``position`` within a key. The cut points are percentiles of
     the hot rows, so a burst in time is split as well as a steady stream.
     """
+    spark = df.sparkSession
     tagged = df.withColumn("_slot", slot(*keys))
-    hot = (
-        tagged.groupBy("_slot")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > hot_rows)
-        .select("_slot")
-    )
+    wanted = spark.createDataFrame([(number,) for number in hot], "_slot int")
     fractions = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = (
         tagged.select("_slot", position)
-        .join(F.broadcast(hot), "_slot", "left_semi")
+        .join(F.broadcast(wanted), "_slot", "left_semi")
         .groupBy("_slot")
         .agg(F.percentile_approx(position, fractions, F.lit(1000)).alias("_cuts"))
     )
     passed = F.size(F.filter("_cuts", lambda cut: cut < F.col(position)))
     return (
         tagged.join(F.broadcast(cuts), "_slot", "left")
-        .withColumn(
-            "slice", F.when(F.col("_cuts").isNull(), 0).otherwise(passed + 1)
-        )
+        .withColumn("slice", F.when(F.col("_cuts").isNull(), 0).otherwise(passed + 1))
         .drop("_slot", "_cuts")
     )

@@ -1,6 +1,14 @@
 """The queries of this repository over the given tables."""
 
-from braidgraph.workload import versions, entities, relations  # noqa: F401, I001
+from braidgraph.workload import (  # noqa: F401, I001
+    versions,
+    entities,
+    relations,
+    hierarchy,
+    paths,
+    vectors,
+    overlay,
+)
 from braidgraph.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -95,7 +95,7 @@ def entities_not_type(spark, sf_dir):
 @query("""
 SELECT id FROM fx_entities WHERE id IN (
   SELECT entity FROM fx_triples WHERE attribute = 'acctbal' AND value_type IN ('NUMBER', 'TEXT')
-  AND CAST(value AS DECIMAL(18,2)) > 5000 AND space_id <> 'nation:7')
+  AND TRY_CAST(value AS DECIMAL(18,2)) > 5000 AND space_id <> 'nation:7')
 AND id IN (SELECT entity FROM fx_triples WHERE attribute = 'segment'
            AND value NOT IN ('BUILDING', 'MACHINERY') AND value_type <> 'NUMBER')
 """)

@@ -6,6 +6,7 @@ begin from the same rows.
 """
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from braidgraph.graph import Graph
 from braidgraph.operators.writes import initial_relations, initial_triples
+from braidgraph.plans.lineage import scratch_path
 from braidgraph.schema import RELATION, TRIPLE
+from braidgraph.sources.tables import read_graph, write_graph
 from braidgraph.vocabulary import Vocabulary
 
 TABLES = (
@@ -272,7 +275,7 @@ def _schema_relations(d: Dialect) -> str:
 
     region = f"'region:' || {d.text('p_partkey % 5')}"
     either = f"CASE WHEN p_partkey % 2 = 0 THEN 'root' ELSE {region} END"
-    return "UNION ALL".join(
+    return "\nUNION ALL\n".join(
         [
             edge("types", "'class:' || p_type", "'type:type'", "'root'"),
             edge("properties", "'class:' || p_type", "'brand:' || p_brand", either),
@@ -289,6 +292,20 @@ def _vectors(d: Dialect) -> str:
     FROM embeddings"""
 
 
+def _vector_relations(d: Dialect) -> str:
+    vec = f"'vec:' || {d.text('vec_id')}"
+    return f"""
+    SELECT 'types>' || {d.text('vec_id')} AS id, {vec} AS from_id,
+           'label:' || {d.text('label')} AS to_id, 'types' AS relation_type,
+           {d.pad('vec_id')} AS index, 'root' AS space_id FROM embeddings
+    UNION ALL
+    SELECT 'depicts>' || {d.text('vec_id')}, {vec}, 'part:' || {d.text('p_partkey')}, 'depicts',
+           {d.pad('vec_id')}, 'root' FROM embeddings JOIN part ON vec_id = p_partkey
+    UNION ALL
+    SELECT id, from_id, to_id, relation_type, index, space_id FROM fx_relations
+    WHERE relation_type = 'supplied_by'"""
+
+
 def _governance_roles(d: Dialect) -> str:
     return f"""
     SELECT 'MEMBER' AS role, '0xC' || {d.pad('c_custkey')} AS address,
@@ -314,6 +331,7 @@ def views(d: Dialect) -> dict[str, str]:
         "fx_schema_triples": _schema_triples(d),
         "fx_schema_relations": _schema_relations(d),
         "fx_vectors": _vectors(d),
+        "fx_vector_relations": _vector_relations(d),
         "fx_roles": _governance_roles(d),
     }
 
@@ -366,8 +384,20 @@ def _entity_nodes(ids: DataFrame) -> DataFrame:
     )
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The trade tables as a graph of open triples and relations."""
+_loaded: dict[tuple[str, str, str], str] = {}
+
+
+def _load(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Graph]) -> Graph:
+    """Load a graph into the table layout, once per application, and read it from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _loaded:
+        folder = scratch_path(spark, name)
+        write_graph(build(), folder)
+        _loaded[key] = folder
+    return read_graph(spark, _loaded[key], VOCABULARY)
+
+
+def trade_rows(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(
         initial_triples(view(spark, sf_dir, "fx_triples")),
         initial_relations(view(spark, sf_dir, "fx_relations")),
@@ -376,23 +406,42 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     )
 
 
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The trade tables as a graph of open triples and relations."""
+    return _load(spark, sf_dir, "trade", lambda: trade_rows(spark, sf_dir))
+
+
 def title_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Titles overridden along the space hierarchy."""
     trade = graph(spark, sf_dir)
-    return Graph(
-        initial_triples(view(spark, sf_dir, "fx_titles")), trade.relations, trade.entities,
-        VOCABULARY,
-    )
+    titles = initial_triples(view(spark, sf_dir, "fx_titles"))
+    return Graph(titles, trade.relations, trade.entities, VOCABULARY)
 
 
 def schema_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Types, properties and value types, with the space hierarchy."""
-    trade = graph(spark, sf_dir)
-    relations = initial_relations(view(spark, sf_dir, "fx_schema_relations"))
-    parents = trade.relations.filter(F.col("relation_type") == "parent_space")
-    triples = initial_triples(view(spark, sf_dir, "fx_schema_triples"))
-    ids = triples.select(F.col("entity").alias("id")).distinct()
-    return Graph(triples, relations.unionByName(parents), _entity_nodes(ids), VOCABULARY)
+
+    def rows() -> Graph:
+        parents = graph(spark, sf_dir).relations.filter("relation_type = 'parent_space'")
+        relations = initial_relations(view(spark, sf_dir, "fx_schema_relations"))
+        triples = initial_triples(view(spark, sf_dir, "fx_schema_triples"))
+        ids = triples.select(F.col("entity").alias("id")).distinct()
+        return Graph(triples, relations.unionByName(parents), _entity_nodes(ids), VOCABULARY)
+
+    return _load(spark, sf_dir, "schema", rows)
+
+
+def vector_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Embedded vectors with a label as type, linked to parts and their suppliers."""
+
+    def rows() -> Graph:
+        vectors = view(spark, sf_dir, "fx_vectors").withColumnRenamed("vector", "embedding")
+        triples = initial_triples(vectors)
+        ids = triples.select(F.col("entity").alias("id"))
+        relations = initial_relations(view(spark, sf_dir, "fx_vector_relations"))
+        return Graph(triples, relations, _entity_nodes(ids), VOCABULARY)
+
+    return _load(spark, sf_dir, "vectors", rows)
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,9 +87,9 @@ UNDO_BLOCK = 120
 
 
 @query(
-    "SELECT entity, attribute, space_id, value, version AS min_version, max_version FROM kept",
+    "SELECT entity, attribute, space_id, value, version AS min_version, max_version FROM kept_history",
     kept_ops=f"SELECT * FROM fx_ops_ordered WHERE block_number <= {UNDO_BLOCK}",
-    kept=fixtures._intervals("kept_ops", "entity, attribute, space_id", "SET_TRIPLE"),
+    kept_history=fixtures._intervals("kept_ops", "entity, attribute, space_id", "SET_TRIPLE"),
 )
 def undo_after_block(spark, sf_dir):
     log = history.undo_after(fixtures.ops(spark, sf_dir), UNDO_BLOCK)
