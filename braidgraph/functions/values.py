@@ -26,7 +26,7 @@ def from_text(column: Column, value_type: str) -> Column:
     if value_type == "UNSIGNED":
         return F.when(
             column.rlike(r"^[+]?[0-9]+$")
-            & column.try_cast("decimal(38,0)").between(0, 2**64 - 1),
+            & (column.try_cast("decimal(38,0)") < F.lit(str(2**64)).cast("decimal(38,0)")),
             column.try_cast("decimal(20,0)"),
         )
     if value_type == "CHECKBOX":

@@ -338,8 +338,8 @@ def event_ops(
     # Events of a block are ordered by kind, then position, then place in the event.
     position = (
         F.col("event_phase").cast("bigint") * 10**14
-        + F.col("pos") * 10**8
-        + F.col("address_pos") * 100
+        + F.col("pos").cast("bigint") * 10**8
+        + F.col("address_pos").cast("bigint") * 100
         + F.col("n")
     )
     return rows.select(

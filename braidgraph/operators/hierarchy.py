@@ -4,7 +4,7 @@
 smallest depth; the root itself is at depth 0.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidgraph.functions.predicates import Where, snapshot
@@ -55,7 +55,7 @@ def _walk(
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
-    return reached
+    return materialize(reached, "space-closure")
 
 
 def parent_spaces(
@@ -177,10 +177,6 @@ def aggregation_directions(
     )
 
 
-def _looks(direction: Column, *allowed: str) -> Column:
-    return direction.isin(*allowed)
-
-
 def inherited_triples(
     graph: Graph,
     keys: DataFrame,
@@ -196,8 +192,8 @@ def inherited_triples(
         aggregation_directions(graph, keys, parents), ["space_id", "attribute"]
     )
     direction = F.col("direction")
-    down = directed.filter(_looks(direction, "Down", "Bidirectional"))
-    up = directed.filter(_looks(direction, "Up", "Bidirectional"))
+    down = directed.filter(direction.isin("Down", "Bidirectional"))
+    up = directed.filter(direction.isin("Up", "Bidirectional"))
     own = directed.filter(direction.isNull())
     hits = (
         nearest_down(graph, down, parents, version)
@@ -213,14 +209,15 @@ def inherited_relations(
     parents: DataFrame,
     version: str | None = None,
     strict: bool = False,
+    direction: str | None = None,
 ) -> DataFrame:
     """Relations of each (space_id, entity, attribute) over the spaces it inherits from.
 
     ``attribute`` is the relation type. Returns the key, the relation and the space
-    that holds it.
+    that holds it. Pass ``direction`` where it is known to be the same for all keys.
     """
     keys = keys.select(*KEY).distinct()
-    voc_edges = graph.relations.filter(snapshot(version)).select(
+    edges = graph.relations.filter(snapshot(version)).select(
         F.col("from_id").alias("entity"),
         F.col("relation_type").alias("attribute"),
         F.col("space_id").alias("found_space"),
@@ -229,35 +226,44 @@ def inherited_relations(
         "index",
     )
     if strict:
-        return keys.withColumn("found_space", F.col("space_id")).join(
-            voc_edges, ["entity", "attribute", "found_space"]
+        own = keys.withColumn("found_space", F.col("space_id"))
+        return own.join(edges, ["entity", "attribute", "found_space"])
+    if direction is None:
+        directed = keys.join(
+            aggregation_directions(graph, keys, parents), ["space_id", "attribute"]
         )
-    directed = keys.join(
-        aggregation_directions(graph, keys, parents), ["space_id", "attribute"]
-    )
-    direction = F.col("direction")
+    else:
+        directed = keys.withColumn("direction", F.lit(direction))
     parents = covering(parents, keys)
+    # The space itself is seen in every direction, so it is looked at here.
     upward = parents.select(
         F.col("root").alias("space_id"), F.col("space_id").alias("found_space"), "depth"
     )
-    # The space itself is seen in every direction, so it is looked at here.
     down = (
         directed.join(upward, "space_id")
-        .filter((F.col("depth") == 0) | _looks(direction, "Down", "Bidirectional"))
+        .filter((F.col("depth") == 0) | F.col("direction").isin("Down", "Bidirectional"))
         .drop("depth", "direction")
-        .join(voc_edges, ["entity", "attribute", "found_space"])
-    )
-    up_keys = directed.filter(_looks(direction, "Up", "Bidirectional")).select(*KEY)
-    edges = voc_edges.join(
-        up_keys.select("entity", "attribute").distinct(), ["entity", "attribute"], "left_semi"
+        .join(edges, ["entity", "attribute", "found_space"])
     )
+    if direction == "Down":
+        return down
+    up_keys = directed.filter(F.col("direction").isin("Up", "Bidirectional")).select(*KEY)
+    asked = up_keys.select("entity", "attribute").distinct()
     above = parents.filter("depth > 0").select(
         F.col("root").alias("found_space"), F.col("space_id")
     )
-    up = edges.join(above, "found_space").join(up_keys, KEY, "left_semi")
+    up = (
+        edges.join(asked, ["entity", "attribute"], "left_semi")
+        .join(above, "found_space")
+        .join(up_keys, KEY, "left_semi")
+    )
     return down.unionByName(up)
 
 
+def _known_direction(graph: Graph, attribute: str) -> str | None:
+    return "Down" if attribute in graph.vocabulary.inherited_down else None
+
+
 def value_types(
     graph: Graph,
     keys: DataFrame,
@@ -273,11 +279,12 @@ def value_types(
     wanted = keys.select(
         "space_id", F.col("property").alias("entity"), F.lit(relation_type).alias("attribute")
     )
+    found = inherited_relations(
+        graph, wanted, parents, strict=strict, direction=_known_direction(graph, relation_type)
+    )
     first = F.min_by("to_id", F.struct("index", "relation_id"))
-    return (
-        inherited_relations(graph, wanted, parents, strict=strict)
-        .groupBy("space_id", F.col("entity").alias("property"))
-        .agg(first.alias("value_type"))
+    return found.groupBy("space_id", F.col("entity").alias("property")).agg(
+        first.alias("value_type")
     )
 
 
@@ -320,7 +327,8 @@ def type_properties(graph: Graph, types: DataFrame, parents: DataFrame) -> DataF
         F.col("type_id").alias("entity"),
         F.lit(graph.vocabulary.properties).alias("attribute"),
     )
-    return inherited_relations(graph, wanted, parents).select(
+    direction = _known_direction(graph, graph.vocabulary.properties)
+    return inherited_relations(graph, wanted, parents, direction=direction).select(
         "space_id",
         F.col("entity").alias("type_id"),
         F.col("to_id").alias("property"),
@@ -342,24 +350,33 @@ def names_in(graph: Graph, pairs: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def schema_report(graph: Graph, roots: DataFrame, parents: DataFrame) -> DataFrame:
-    """Types of each space with their properties, value types and all their names."""
-    types = space_types(graph, roots, parents)
-    properties = type_properties(graph, types, parents).select(
-        "space_id", "type_id", "property"
+    """Types of each space with their properties, value types and all their names.
+
+    Each step feeds several later ones, so it is written once instead of being
+    computed again in every branch.
+    """
+    types = materialize(space_types(graph, roots, parents), "schema-types")
+    properties = materialize(
+        type_properties(graph, types, parents).select("space_id", "type_id", "property"),
+        "schema-properties",
     )
     kinds = value_types(graph, properties, parents)
-    report = types.join(properties, ["space_id", "type_id"], "left").join(
-        kinds, ["space_id", "property"], "left"
+    report = materialize(
+        types.join(properties, ["space_id", "type_id"], "left").join(
+            kinds, ["space_id", "property"], "left"
+        ),
+        "schema-report",
     )
+    ids = report.select("space_id", F.explode(F.array("type_id", "property", "value_type")))
+    pairs = ids.select("space_id", F.col("col").alias("id")).dropna().distinct()
+    names = materialize(names_in(graph, pairs, parents), "schema-names")
     for column, name in (
         ("type_id", "type_name"),
         ("property", "property_name"),
         ("value_type", "value_type_name"),
     ):
-        pairs = report.select("space_id", F.col(column).alias("id")).dropna().distinct()
-        names = names_in(graph, pairs, parents).select(
+        named = names.select(
             "space_id", F.col("id").alias(column), F.col("name").alias(name)
         )
-        report = report.join(names, ["space_id", column], "left")
+        report = report.join(named, ["space_id", column], "left")
     return report
-

@@ -8,6 +8,7 @@ from braidgraph.workload import (  # noqa: F401, I001
     paths,
     vectors,
     overlay,
+    governance,
 )
 from braidgraph.workload.registry import ORACLES, QUERIES
 

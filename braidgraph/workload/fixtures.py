@@ -10,13 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidgraph.graph import Graph
 from braidgraph.operators.writes import initial_relations, initial_triples
 from braidgraph.plans.lineage import scratch_path
-from braidgraph.schema import RELATION, TRIPLE
+from braidgraph.schema import BLOCKS, CONTENT, EVENT_LISTS, PAYLOAD, RELATION, TRIPLE
 from braidgraph.sources.tables import read_graph, write_graph
 from braidgraph.vocabulary import Vocabulary
 
@@ -315,6 +315,100 @@ def _governance_roles(d: Dialect) -> str:
            '0xDA0' || {d.text('s_nationkey')} FROM supplier"""
 
 
+# Payload columns of the governance events and their types.
+EVENT_COLUMNS = {
+    **dict.fromkeys(
+        ("dao_address", "space_address", "personal_admin_address", "initial_editor",
+         "main_voting_address", "member_access_address", "member_address", "editor_address",
+         "subspace", "proposal_id", "creator", "start_time", "end_time", "member", "editor",
+         "content_uri", "onchain_proposal_id", "voter", "plugin_address"),
+        "STRING",
+    ),
+    "vote_option": "BIGINT",
+}
+
+
+def _governance(d: Dialect) -> str:
+    """Block events of a run of the trade world: nations and regions are spaces.
+
+    Customers join as members and suppliers as editors of their nation, those with debts
+    leave again; orders are proposals, events vote on them.
+    """
+    rows = []
+
+    def add(kind, source, block, order, **payload):
+        columns = ", ".join(
+            f"CAST({payload.get(name, 'NULL')} AS {dtype}) AS {name}"
+            for name, dtype in EVENT_COLUMNS.items()
+        )
+        rows.append(
+            f"SELECT CAST({block} AS BIGINT) AS block_number, '{kind}' AS kind, "
+            f"CAST({order} AS BIGINT) AS ord, {columns} FROM {source}"
+        )
+
+    nation, region = f"'0xDA0' || {d.text('n_nationkey')}", f"'0xDA1' || {d.text('n_regionkey')}"
+    add("spaces_created", "nation", 0, "n_nationkey", dao_address=nation,
+        space_address=f"'0x5A0' || {d.text('n_nationkey')}")
+    own = f"'0xDA1' || {d.text('r_regionkey')}"
+    add("spaces_created", "region", 0, "100 + r_regionkey", dao_address=own,
+        space_address=f"'0x5A1' || {d.text('r_regionkey')}")
+    add("personal_plugins_created", "region", 1, "r_regionkey", dao_address=own,
+        personal_admin_address=f"'0xAD' || {d.text('r_regionkey')}",
+        initial_editor=f"'0x1E' || {d.text('r_regionkey')}")
+    add("governance_plugins_created", "nation", 1, "n_nationkey", dao_address=nation,
+        main_voting_address=f"'0xF0' || {d.text('n_nationkey')}",
+        member_access_address=f"'0xFA' || {d.text('n_nationkey')}")
+    add("subspaces_added", "nation", 1, "n_nationkey", subspace=nation, dao_address=region)
+    add("subspaces_removed", "nation WHERE n_nationkey % 5 = n_regionkey", 400000, "n_nationkey",
+        subspace=nation, dao_address=region)
+    home = f"'0xDA0' || {d.text('c_nationkey')}"
+    customer = f"'0xC' || {d.pad('c_custkey')}"
+    add("members_added", "customer", f"2 + {d.div('c_custkey', 50)}", "c_custkey",
+        dao_address=home, member_address=customer)
+    add("members_removed", "customer WHERE c_acctbal < 0", f"400000 + {d.div('c_custkey', 50)}",
+        "c_custkey", dao_address=home, member_address=customer)
+    base = f"'0xDA0' || {d.text('s_nationkey')}"
+    supplier = f"'0x5E' || {d.pad('s_suppkey')}"
+    add("editors_added", "supplier", f"2 + {d.div('s_suppkey', 50)}", "s_suppkey",
+        dao_address=base, editor_address=supplier)
+    add("editors_removed", "supplier WHERE s_acctbal < 0", f"400000 + {d.div('s_suppkey', 50)}",
+        "s_suppkey", dao_address=base, editor_address=supplier)
+    kinds = ("proposed_added_members", "proposed_removed_members", "proposed_added_editors",
+             "proposed_removed_editors", "proposed_added_subspaces",
+             "proposed_removed_subspaces", "proposed_edits")
+    subjects = ({"member": customer}, {"member": customer}, {"editor": customer},
+                {"editor": customer}, {"subspace": "'0xDA1' || " + d.text("c_nationkey % 5")},
+                {"subspace": "'0xDA1' || " + d.text("c_nationkey % 5")},
+                {"content_uri": "'ipfs://order/' || " + d.text("o_orderkey")})
+    for number, (kind, subject) in enumerate(zip(kinds, subjects)):
+        add(kind, f"orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = {number}",
+            f"100000 + {d.div('o_orderkey', 100)}", "o_orderkey", dao_address=home,
+            plugin_address=f"'0xF0' || {d.text('c_nationkey')}",
+            proposal_id=d.text("o_orderkey"), creator=customer,
+            start_time=d.time("o_orderdate"), end_time=d.time("o_orderdate"), **subject)
+    add("votes_cast",
+        "events JOIN orders ON event_id = o_orderkey JOIN customer ON o_custkey = c_custkey",
+        f"200000 + {d.div('event_id', 50)}", "event_id",
+        onchain_proposal_id=d.text("o_orderkey"), voter=f"'0xC' || {d.pad('user_id')}",
+        plugin_address=f"'0xF0' || {d.text('c_nationkey')}",
+        vote_option="CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 1 END")
+    add("executed_proposals",
+        "orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'",
+        f"300000 + {d.div('o_orderkey', 100)}", "o_orderkey", proposal_id=d.text("o_orderkey"),
+        plugin_address=f"'0xF0' || {d.text('c_nationkey')}")
+    add("edits_published",
+        f"(SELECT DISTINCT {d.div('event_id', 50)} AS block, event_id % 5 AS edit FROM events) e",
+        "500000 + block", "edit", dao_address=f"'0xDA0' || {d.text('block % 25')}",
+        plugin_address=f"'0xF0' || {d.text('block % 25')}",
+        content_uri=f"CASE WHEN block % 10 = 0 THEN CASE edit WHEN 0 THEN 'ipfs://import/' "
+                    f"|| {d.text('block')} ELSE 'ipfs://missing/' || {d.text('block')} END "
+                    f"ELSE 'ipfs://edit/' || {d.text('block')} || '/' || {d.text('edit')} END")
+    union = "\nUNION ALL ".join(rows)
+    return f"""
+    SELECT *, row_number() OVER (PARTITION BY block_number, kind ORDER BY ord) - 1 AS pos
+    FROM ({union}) all_events"""
+
+
 @cache
 def views(d: Dialect) -> dict[str, str]:
     return {
@@ -333,6 +427,7 @@ def views(d: Dialect) -> dict[str, str]:
         "fx_vectors": _vectors(d),
         "fx_vector_relations": _vector_relations(d),
         "fx_roles": _governance_roles(d),
+        "fx_events": _governance(d),
     }
 
 
@@ -473,3 +568,63 @@ def _log(rows: DataFrame, triple=None, relation=None) -> DataFrame:
         (F.lit(None).cast(TRIPLE) if triple is None else triple).alias("triple"),
         (F.lit(None).cast(RELATION) if relation is None else relation).alias("relation"),
     )
+
+
+def block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The governance events as fanned-out rows."""
+    rows = view(spark, sf_dir, "fx_events")
+    payload = F.struct(
+        *[
+            (F.col(f.name) if f.name in EVENT_COLUMNS else F.lit(None)).cast(f.dataType)
+            .alias(f.name)
+            for f in PAYLOAD.fields
+        ]
+    )
+    return rows.select(
+        "block_number", F.timestamp_seconds(F.col("block_number")).alias("block_ts"), "kind",
+        F.col("pos").cast("int").alias("pos"), payload.alias("payload"),
+    )
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events bundled into one row per block, with a list per kind."""
+    events = block_events(spark, sf_dir)
+
+    def listed(kind: str, payload) -> Column:
+        item = F.struct("pos", F.struct(*[f"payload.{n}" for n in payload.fieldNames()]).alias("p"))
+        mine = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, item)))
+        return F.transform(mine, lambda x: x["p"]).cast(BLOCKS[kind].dataType).alias(kind)
+
+    return events.groupBy("block_number").agg(
+        F.min("block_ts").alias("block_ts"),
+        *[listed(kind, payload) for kind, payload in EVENT_LISTS.items()],
+    )
+
+
+def content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content of the published edits: the operations of the log, and imports of five edits."""
+    log = ops(spark, sf_dir).withColumn("block", F.col("block_number"))
+    op = F.struct("op_pos", F.struct(F.col("op_type").alias("type"), "triple", "relation").alias("op"))
+    uri = F.concat_ws("/", F.lit("ipfs://edit"), F.col("block").cast("string"),
+                      F.col("edit_idx").cast("string"))
+    edits = log.groupBy("block", "edit_idx").agg(
+        F.transform(F.sort_array(F.collect_list(op)), lambda x: x["op"]).alias("ops")
+    ).select(
+        uri.alias("uri"), F.lit("ADD_EDIT").alias("type"),
+        F.concat(F.lit("e"), F.col("block").cast("string"), F.lit("-"),
+                 F.col("edit_idx").cast("string")).alias("id"),
+        F.concat(F.lit("Edit "), uri).alias("name"), F.array(F.lit("0xC000000000001")).alias("authors"),
+        "ops", F.lit(None).cast("array<string>").alias("edits"),
+    )
+    imports = log.filter("block % 10 = 0").groupBy("block").agg(
+        F.sort_array(F.collect_set(uri)).alias("edits")
+    ).select(
+        F.concat(F.lit("ipfs://import/"), F.col("block").cast("string")).alias("uri"),
+        F.lit("IMPORT_SPACE").alias("type"), F.lit("").alias("id"), F.lit("").alias("name"),
+        F.array(F.lit("0xC000000000001")).alias("authors"),
+        F.lit(None).cast(CONTENT["ops"].dataType).alias("ops"), "edits",
+    )
+    origin = F.lit(None).cast("string")
+    return edits.unionByName(imports).select(
+        "*", origin.alias("previous_network"), origin.alias("previous_contract_address")
+    )

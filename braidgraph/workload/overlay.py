@@ -80,10 +80,10 @@ def wide_to_triples(spark, sf_dir):
 
 
 @query("""
-SELECT n.entity, n.value AS name, CAST(b.value AS DOUBLE) AS balance
+SELECT n.entity, n.value AS name, TRY_CAST(b.value AS DOUBLE) AS balance
 FROM fx_triples n JOIN fx_triples b ON b.entity = n.entity AND b.attribute = 'acctbal'
 WHERE n.attribute = 'name' AND n.entity LIKE 'customer:%'
-  AND CAST(b.value AS DECIMAL(18,2)) < 0 AND n.value > 'Customer#000000010'
+  AND TRY_CAST(b.value AS DECIMAL(18,2)) < 0 AND n.value > 'Customer#000000010'
 """)
 def typed_find(spark, sf_dir):
     fields = {"name": Field("name"), "balance": Field("acctbal", "NUMBER")}
