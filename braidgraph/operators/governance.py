@@ -17,7 +17,6 @@ from braidgraph.operators.overlay import Field
 from braidgraph.vocabulary import (
     CREATE_RELATION,
     DEFAULT,
-    DEFAULT_LIMIT,
     DELETE_RELATION,
     SET_TRIPLE,
     VOTE_OPTIONS,
@@ -501,12 +500,3 @@ def votes(graph: Graph) -> DataFrame:
     view = overlay.relation_view(graph, voc.vote_cast, {"vote": Field(voc.vote_type)})
     return view.select("id", F.col("from_id").alias("voter"), F.col("to_id").alias("proposal"), "vote")
 
-
-def listed(rows: DataFrame, key: str, first: int = DEFAULT_LIMIT, skip: int = 0) -> DataFrame:
-    """One page of a view in key order."""
-    from braidgraph.operators.entities import check_page
-
-    page = rows.orderBy(key)
-    if skip:
-        page = page.offset(skip)
-    return page.limit(check_page(first))

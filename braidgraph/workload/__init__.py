@@ -9,6 +9,8 @@ from braidgraph.workload import (  # noqa: F401, I001
     vectors,
     overlay,
     governance,
+    reports,
+    streams,
 )
 from braidgraph.workload.registry import ORACLES, QUERIES
 

@@ -359,7 +359,7 @@ def _governance(d: Dialect) -> str:
         main_voting_address=f"'0xF0' || {d.text('n_nationkey')}",
         member_access_address=f"'0xFA' || {d.text('n_nationkey')}")
     add("subspaces_added", "nation", 1, "n_nationkey", subspace=nation, dao_address=region)
-    add("subspaces_removed", "nation WHERE n_nationkey % 5 = n_regionkey", 400000, "n_nationkey",
+    add("subspaces_removed", "nation WHERE n_nationkey >= 20", 400000, "n_nationkey",
         subspace=nation, dao_address=region)
     home = f"'0xDA0' || {d.text('c_nationkey')}"
     customer = f"'0xC' || {d.pad('c_custkey')}"

@@ -7,6 +7,7 @@ from braidgraph.functions.predicates import Where, snapshot
 from braidgraph.graph import Graph
 from braidgraph.operators import governance, history, writes
 from braidgraph.operators.writes import Block
+from braidgraph.plans.lineage import materialize
 from braidgraph.sources import edits, seed
 from braidgraph.workload import fixtures
 from braidgraph.workload.fixtures import VOCABULARY as VOC
@@ -52,6 +53,7 @@ def governance_graph(spark, sf_dir) -> Graph:
         ops = governance.event_ops(
             fixtures.block_events(spark, sf_dir), vocabulary=VOC
         ).unionByName(seed.bootstrap(spark, VOC))
+        ops = materialize(ops, "indexer-ops")
         return Graph(
             history.derive_triples(ops, versioning=False),
             history.derive_relations(ops, versioning=False),
