@@ -102,31 +102,54 @@ def applied(events: DataFrame, governance: bool = True) -> DataFrame:
     return events.filter(F.col("kind").isin(*kinds))
 
 
+def _op(op_type: str, subject, predicate: str, target, id_=None, index=None) -> Column:
+    """A triple or relation operation in one compact shape; see :func:`_unfold`."""
+    parts = {
+        "op_type": F.lit(op_type), "subject": subject, "predicate": F.lit(predicate),
+        "target": target,
+        "id": F.lit(None).cast("string") if id_ is None else id_,
+        "index": F.lit(index).cast("string"),
+    }
+    return F.struct(*[part.alias(name) for name, part in parts.items()])
+
+
 def _triple(entity: Column, attribute: str, value: Column) -> Column:
-    fields = {"entity": entity, "attribute": F.lit(attribute), "value": value,
-              "value_type": F.lit("TEXT")}
-    return F.struct(
-        F.lit(SET_TRIPLE).alias("op_type"),
-        F.struct(
+    return _op(SET_TRIPLE, entity, attribute, value)
+
+
+def _edge(op_type: str, id_: Column, type_: str, from_: Column, to: Column, index="0") -> Column:
+    return _op(op_type, from_, type_, to, id_, index)
+
+
+def _unfold(op: str) -> list[Column]:
+    """The columns of the log from a compact operation."""
+
+    def filled(struct, **fields) -> Column:
+        return F.struct(
             *[
-                fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in schema.TRIPLE.fields
+                (fields[f.name] if f.name in fields else F.lit(None).cast(f.dataType))
+                .alias(f.name)
+                for f in struct.fields
             ]
-        ).alias("triple"),
-        F.lit(None).cast(schema.RELATION).alias("relation"),
-    )
+        )
 
+    def part(name: str) -> Column:
+        return F.col(f"{op}.{name}")
 
-def _edge(op_type: str, id_: Column, type_: str, from_: Column, to: Column, index="0") -> Column:
-    fields = {"id": id_, "type": F.lit(type_), "from_entity": from_, "to_entity": to,
-              "index": F.lit(index)}
-    return F.struct(
-        F.lit(op_type).alias("op_type"),
-        F.lit(None).cast(schema.TRIPLE).alias("triple"),
-        F.struct(
-            *[fields[f.name].cast(f.dataType).alias(f.name) for f in schema.RELATION.fields]
-        ).alias("relation"),
+    is_triple = part("op_type") == SET_TRIPLE
+    triple = filled(
+        schema.TRIPLE, entity=part("subject"), attribute=part("predicate"),
+        value=part("target"), value_type=F.lit("TEXT"),
     )
+    relation = filled(
+        schema.RELATION, id=part("id"), type=part("predicate"), from_entity=part("subject"),
+        to_entity=part("target"), index=part("index"),
+    )
+    return [
+        part("op_type").alias("op_type"),
+        F.when(is_triple, triple).alias("triple"),
+        F.when(~is_triple, relation).alias("relation"),
+    ]
 
 
 def _types(entity: Column, voc: Vocabulary, *types: str) -> list[Column]:
@@ -344,14 +367,13 @@ def event_ops(
     return rows.select(
         "block_number", "block_ts", F.lit(0).alias("edit_idx"), position.alias("op_pos"),
         F.lit(vocabulary.indexer_space).alias("space_id"),
-        F.col("op.op_type").alias("op_type"), F.col("op.triple").alias("triple"),
-        F.col("op.relation").alias("relation"),
+        *_unfold("op"),
     )
 
 
 _OP_ARRAY = (
-    f"array<struct<op_type:string,triple:{schema.TRIPLE.simpleString()},"
-    f"relation:{schema.RELATION.simpleString()}>>"
+    "array<struct<op_type:string,subject:string,predicate:string,target:string,"
+    "id:string,index:string>>"
 )
 
 
