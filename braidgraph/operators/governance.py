@@ -72,22 +72,18 @@ def fan_out(blocks: DataFrame) -> DataFrame:
     The lists of a block are merged into one array of (kind, pos, payload) and exploded
     once, so a block is read a single time whatever its kinds.
     """
-    fields = schema.PAYLOAD.fields
 
     def events(kind: str, payload) -> Column:
-        own = {f.name for f in payload.fields}
-
-        def event(item, pos):
-            values = [
-                (item[f.name] if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in fields
-            ]
-            return F.struct(
-                F.lit(kind).alias("kind"), pos.alias("pos"), F.struct(*values).alias("payload")
-            )
-
-        empty = F.array().cast(blocks.schema[kind].dataType)
-        return F.transform(F.coalesce(F.col(kind), empty), event)
+        own = set(payload.fieldNames())
+        values = ", ".join(
+            f"'{f.name}', " + (f"item.{f.name}" if f.name in own else
+                               f"CAST(NULL AS {f.dataType.simpleString()})")
+            for f in schema.PAYLOAD.fields
+        )
+        return F.expr(
+            f"transform(coalesce({kind}, array()), (item, pos) -> named_struct("
+            f"'kind', '{kind}', 'pos', pos, 'payload', named_struct({values})))"
+        )
 
     kinds = [k for k in schema.EVENT_LISTS if k in blocks.columns]
     merged = F.concat(*[events(k, schema.EVENT_LISTS[k]) for k in kinds])
