@@ -1,6 +1,7 @@
 """Named queries over the given tables and the SQL that checks them."""
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,14 @@ def query(oracle: str | None = None, **views: str) -> Callable[[Query], Query]:
 
     def register(function: Query) -> Query:
         name = function.__name__
-        QUERIES[name] = function
+
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Times are written and read as UTC, whatever the zone of the session was.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = fixtures.with_views(oracle, extra=views)
         return function
