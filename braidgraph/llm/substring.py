@@ -229,8 +229,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
                 row = (doc_id, len(all_words), len(all_words) - len(kept))
                 row += (hashlib.sha256(text).hexdigest(),)
                 rows.append(row + (text.decode(),) if with_text else row)
-            kinds = [pa.int64()] * 3 + [pa.string()] * (len(row) - 3 if rows else 0)
             if rows:
+                kinds = [pa.int64()] * 3 + [pa.string()] * (len(rows[0]) - 3)
                 arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
                 names = [part.split()[0] for part in shape.split(", ")]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
