@@ -6,8 +6,8 @@ order of its own (optimal densification), so small sets get full signatures as w
 Bands of bins are buckets. Each bucket names one centre and its other members become
 star-shaped candidates, so pairs grow with members, never with their square. Candidates
 are confirmed on full sets. Members of one bucket that are still in different
-components are then compared where the shingles they share with anyone allow a link,
-so that no link is lost to the choice of the centre.
+components are then compared in blocks, so that no link is lost to the choice of the
+centre.
 """
 
 import numpy as np
@@ -20,6 +20,9 @@ from braidgraph.llm.words import mix, sequence_hashes, text_slices, words
 from braidgraph.plans.lineage import materialize
 
 BINS = 240
+# Members of a block, and columns of its incidence matrix at a time.
+BLOCK = 96
+COLUMNS = 1 << 14
 MISS = 1e-7
 
 _ORDERS = np.argsort(
@@ -144,6 +147,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(kept).select("a", "b")
 
 
+def _across(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, among members that share buckets (band, a, rep, component).
+
+    Members that buckets connect are a family. A family is dealt out to blocks, and two
+    blocks are compared by a task, which multiplies their incidence matrices and returns
+    one link for each two components. Pairs of members never become rows.
+    """
+    families = components(opened.filter("a < rep").select("a", F.col("rep").alias("b")).distinct())
+    members = opened.select("rep", "component").distinct().join(
+        families.select("node", F.col("component").alias("family")), F.col("rep") == F.col("node")
+    )
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    held = sets.select(F.col("doc_id").alias("set_id"), "shingles")
+    dealt = (
+        members.join(sizes, "family")
+        .withColumn("own", own)
+        .join(held, F.col("rep") == F.col("set_id"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(
+            "family",
+            F.least("own", "other").alias("lo"),
+            F.greatest("own", "other").alias("hi"),
+            "own",
+            "rep",
+            "component",
+            "shingles",
+        )
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _block_links(table.combine_chunks(), percent)
+
+    return dealt.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    reps, components_, own = (table[name].to_numpy() for name in ("rep", "component", "own"))
+    lists = table["shingles"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.diff(np.asarray(lists.offsets))
+    codes = np.unique(np.asarray(lists.flatten()), return_inverse=True)[1]
+    rows = np.repeat(np.arange(len(reps)), sizes)
+    shared = np.zeros((len(reps), len(reps)), np.float32)
+    order = np.argsort(codes, kind="stable")
+    codes, rows = codes[order], rows[order]
+    for start in range(0, int(codes[-1]) + 1 if len(codes) else 0, COLUMNS):
+        first, last = np.searchsorted(codes, (start, start + COLUMNS))
+        held = np.zeros((len(reps), COLUMNS), np.float32)
+        held[rows[first:last], codes[first:last] - start] = 1
+        shared += held @ held.T
+    shared = np.rint(shared).astype(np.int64)
+    similar = 100 * shared >= percent * (sizes[:, None] + sizes[None] - shared)
+    similar &= components_[:, None] < components_[None]
+    if own.min() != own.max():
+        similar &= own[:, None] != own[None]
+    x, y = np.nonzero(similar)
+    # One link joins two components.
+    first = np.unique(np.stack([components_[x], components_[y]]), axis=1, return_index=True)[1]
+    return pa.table({"a": reps[x[first]], "b": reps[y[first]]})
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document its set size, component and whether it is the one kept.
 
@@ -236,23 +301,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "common",
         F.coalesce("component", "rep").alias("component"),
     )
-    open_bands = (
-        placed.groupBy("band")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .filter("least < most")
-    )
-    placed = materialize(placed.join(open_bands.select("band"), "band"), "open")
-    rest = (
-        placed.alias("x")
-        .join(
-            placed.alias("y"),
-            (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")),
-        )
-        .filter(possible("x", "y"))
-        .select(*ends("x", "y"))
-        .distinct()
+    bands = placed.groupBy("band").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.min("rep").alias("a")
     )
-    more = materialize(_confirmed(rest, sets, percent), "rest-links")
+    bands = bands.filter("least < most").select("band", "a")
+    opened = materialize(placed.join(bands, "band"), "open")
+    more = materialize(_across(opened, sets, percent), "rest-links")
     if not more.isEmpty():
         named_once = components(links.union(more))
 
