@@ -28,8 +28,9 @@ def words(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+    """How many words there are; the case of letters does not matter for that."""
+    apart = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return F.greatest(F.size(F.array_remove(F.split(text, apart), "")), F.lit(0)).cast("long")
 
 
 def _numbers(last: Column) -> Column:
@@ -46,20 +47,35 @@ def word_hashes(found: Column) -> Column:
     return F.transform(found, lambda word: F.xxhash64(word))
 
 
+def _run_hash(hashes: Column, at: Column, most: int, size: Column | None = None) -> Column:
+    """Hash of the run of ``most`` words from ``at``, or of ``size`` if that is less.
+
+    Single elements are read: a slice would copy the whole array for every place.
+    """
+    parts = [F.get(hashes, at + k) for k in range(most)]
+    if size is not None:
+        # Nulls do not change the hash.
+        parts = [F.when(size > k, part) for k, part in enumerate(parts)]
+    return F.xxhash64(*parts)
+
+
 def grams(hashes: Column, size: int) -> Column:
     """Hashes of all runs of ``size`` words, from the words' hashes."""
     return F.transform(
-        _numbers(F.size(hashes) - size), lambda at: F.xxhash64(F.slice(hashes, at + 1, size))
+        _numbers(F.size(hashes) - size), lambda at: _run_hash(hashes, at, size)
     )
 
 
 def fingerprints(found: Column, gram: int, window: int) -> Column:
     """The different least hashes of all runs of ``window`` hashes of ``gram`` words."""
 
+    def least_of(values: list[Column]) -> Column:
+        return F.least(*values) if len(values) > 1 else values[0]
+
     def least(hashes: Column) -> Column:
         return F.transform(
             _numbers(F.size(hashes) - window),
-            lambda at: F.array_min(F.slice(hashes, at + 1, window)),
+            lambda at: least_of([F.get(hashes, at + k) for k in range(window)]),
         )
 
     return F.array_distinct(
@@ -163,7 +179,7 @@ def _extended(matched: DataFrame, keyed: DataFrame, windows: DataFrame, gram: in
         """Starts of windows that hold a fingerprint: at most size - gram words before it."""
         places = F.filter(
             _numbers(F.size(held) - width),
-            lambda at: F.array_contains("prints", F.xxhash64(F.slice(held, at + 1, width))),
+            lambda at: F.array_contains("prints", _run_hash(held, at, gram, width)),
         )
         return F.transform(
             places,
