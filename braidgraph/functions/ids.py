@@ -5,8 +5,14 @@ from pyspark.sql import functions as F
 
 
 def derived_id(*parts: Column | str) -> Column:
-    """Id of a thing named by ``parts``: md5 of the parts joined with a colon."""
-    return F.md5(F.concat_ws(":", *parts).cast("binary"))
+    """Id of a thing named by ``parts``: md5 of the parts joined with a colon.
+
+    Null if a part is null, as things without a full name are not one thing.
+    """
+    joined: list[Column | str] = []
+    for part in parts:
+        joined += [F.lit(":"), part] if joined else [part]
+    return F.md5(F.concat(*joined).cast("binary"))
 
 
 def address_key(address: Column | str) -> Column:

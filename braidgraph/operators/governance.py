@@ -300,7 +300,8 @@ def import_targets(
     events: DataFrame, content: DataFrame, network: str
 ) -> DataFrame:
     """(block_number, plugin, imported_space_id) of spaces that import another one."""
-    imports = content.filter("type = 'IMPORT_SPACE'").select(
+    once = content.dropDuplicates(["uri"])
+    imports = once.filter("type = 'IMPORT_SPACE'").select(
         F.col("uri").alias("content_uri"),
         ids.space_id("previous_network", "previous_contract_address").alias("imported_space_id"),
     )

@@ -66,10 +66,11 @@ def attribute_maps(triples: DataFrame) -> DataFrame:
 
 
 def merge_attributes(rows: DataFrame, order: str) -> DataFrame:
-    """Keep the last value per (entity, attribute) by ``order``."""
+    """Keep the last value per (entity, attribute) by ``order``, then by space."""
     fields = [f for f in VALUE_FIELDS if f in rows.columns]
+    last = F.struct(order, "space_id") if "space_id" in rows.columns else F.col(order)
     return (
         rows.groupBy("entity", "attribute")
-        .agg(F.max_by(F.struct(*fields), order).alias("last"))
+        .agg(F.max_by(F.struct(*fields), last).alias("last"))
         .select("entity", "attribute", "last.*")
     )

@@ -222,9 +222,9 @@ def attribute_groups(spark, sf_dir):
     return maps.select("entity", "space_id", F.concat_ws("|", shown).alias("attributes"))
 
 
-# The last value of each attribute across the spaces of an entity.
+# The last value of each attribute across the spaces of an entity, ties by space.
 @query("""
-SELECT entity, attribute, arg_max(value, version) AS value FROM fx_history
+SELECT entity, attribute, first(value ORDER BY version DESC, space_id DESC) AS value FROM fx_history
 WHERE max_version IS NULL GROUP BY entity, attribute
 """)
 def attributes_merged(spark, sf_dir):

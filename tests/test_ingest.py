@@ -237,3 +237,26 @@ def test_graph_tables_round_trip(spark, folder):
     fewer = replace(graph, triples=graph.triples.limit(1))
     tables.write_graph(fewer, f"{folder}/graph", mode="overwrite")
     assert tables.read_graph(spark, f"{folder}/graph").triples.count() == 1
+
+
+def test_repeats_inside_a_batch_and_late_content(spark, folder):
+    log = ingest.Log(f"{folder}/repeats")
+    landed = content(spark, EDITS)
+    twice = blocks(spark, {2: published("ipfs://1")})
+    ingest.append_batch(twice.union(twice), 0, log, lambda: landed.union(landed))
+    once = ingest.Log(f"{folder}/once")
+    ingest.append_batch(blocks(spark, {2: published("ipfs://1")}), 0, once, landed)
+
+    def written(which):
+        return sorted(map(repr, ingest.read_ops(spark, which, which.edit_ops).collect()))
+
+    assert written(log) == written(once) and written(log)
+
+
+def test_ids_of_null_parts_are_null(spark):
+    from braidgraph.functions import ids
+
+    rows = spark.createDataFrame([("n", "A"), ("n", None), (None, "A"), (None, None)], "n string, a string")
+    found = rows.select(ids.space_id("n", "a").alias("s"), ids.account_id("a").alias("k")).collect()
+    assert [r["s"] is None for r in found] == [False, True, True, True]
+    assert [r["k"] is None for r in found] == [False, True, False, True]
