@@ -23,19 +23,22 @@ def components(links: DataFrame) -> DataFrame:
     )
     for _ in range(ROUNDS):
         told = both.join(names.select(F.col("node").alias("b"), "name"), "b").select(
-            F.col("a").alias("node"), "name"
+            F.col("a").alias("node"), "name", F.lit(None).cast("long").alias("was")
+        )
+        own = names.select("node", "name", F.col("name").alias("was"))
+        least = own.union(told).groupBy("node").agg(
+            F.min("name").alias("name"), F.max("was").alias("was")
         )
-        least = names.union(told).groupBy("node").agg(F.min("name").alias("name"))
         followed = least.alias("l").join(
             names.alias("n"), F.col("l.name") == F.col("n.node"), "left"
         )
         after = followed.select(
             F.col("l.node").alias("node"),
             F.least("l.name", F.coalesce("n.name", "l.name")).alias("name"),
+            "l.was",
         )
         after = materialize(after, "names")
-        moved = after.join(names.withColumnRenamed("name", "was"), "node").filter("name < was")
-        names = after
-        if moved.isEmpty():
+        names = after.select("node", "name")
+        if after.filter("name < was").isEmpty():
             return names.select("node", F.col("name").alias("component"))
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
