@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK_ROWS = 1024
+
 
 def id_remainder(key: str, parts: int) -> Column:
     """crc32 of an id's decimal text, modulo ``parts``."""
@@ -46,15 +48,23 @@ def sigmoid(values: np.ndarray) -> np.ndarray:
 def fit_logistic(
     features: np.ndarray, targets: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 ) -> np.ndarray:
-    """Weights of a logistic regression, the last one for a constant; targets in 0..1."""
-    x = np.hstack([features, np.ones((len(features), 1))])
-    weights = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+    """Weights of a logistic regression, the last one for a constant; targets in 0..1.
+
+    Rows are taken in blocks, so that no second copy of the features is made.
+    """
+    size = features.shape[1] + 1
+    weights = np.zeros(size)
+    keep = np.full(size, ridge)
     keep[-1] = 1e-9
     for _ in range(rounds):
-        chance = sigmoid(x @ weights)
-        slope = x.T @ (chance - targets) / len(x) + keep * weights
-        bend = (x * (chance * (1 - chance))[:, None]).T @ x / len(x) + np.diag(keep + 1e-9)
+        slope = keep * weights
+        bend = np.diag(keep + 1e-9)
+        for at in range(0, len(features), BLOCK_ROWS):
+            x = np.ones((len(features[at : at + BLOCK_ROWS]), size))
+            x[:, :-1] = features[at : at + BLOCK_ROWS]
+            chance = sigmoid(x @ weights)
+            slope += x.T @ (chance - targets[at : at + BLOCK_ROWS]) / len(features)
+            bend += (x * (chance * (1 - chance))[:, None]).T @ x / len(features)
         step = np.linalg.solve(bend, slope)
         weights -= step
         if np.abs(step).max() < 1e-8:

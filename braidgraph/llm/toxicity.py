@@ -153,12 +153,6 @@ class ToxicityModel:
         patterns = _pattern_votes(column)
         return np.hstack([result, patterns])
 
-    def presence(self, column: pa.Array) -> np.ndarray:
-        rows, entries = self._found(column)
-        result = np.zeros((len(column), len(self.hashes)), np.float32)
-        result[rows, entries] = 1
-        return result
-
     def score(self, column: pa.Array) -> np.ndarray:
         rows, entries = self._found(column)
         sums = np.bincount(rows, self.weight[entries], len(column)) if len(rows) else 0
@@ -171,19 +165,7 @@ def _lexicon(texts: pa.Array, labels: np.ndarray) -> ToxicityModel:
     A term counts once a document. It is an entry if toxic rows hold it far more often
     than others do; words go round the word lexicons, beginnings to that of their size.
     """
-    hashes, rows = [], []
-    for start, end in text_slices(texts):
-        found, at = terms(texts.slice(start, end - start))
-        hashes.append(found)
-        rows.append(at + start)
-    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    kind_of = _kinds_of(texts, hashes)
-    distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    pairs = np.unique(inverse * np.int64(len(texts)) + rows)
-    term, row = pairs // max(1, len(texts)), pairs % max(1, len(texts))
-    toxic = np.bincount(term[labels[row] == 1], minlength=len(distinct)).astype(float)
-    clean = np.bincount(term[labels[row] == 0], minlength=len(distinct)).astype(float)
+    distinct, kind_of, toxic, clean = _document_counts(texts, labels)
     share = (labels == 1).mean() if len(labels) else 0.5
     surprise = _surprise(toxic, clean, share)
     n_toxic, n_clean = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
@@ -191,7 +173,7 @@ def _lexicon(texts: pa.Array, labels: np.ndarray) -> ToxicityModel:
     sure = surprise > np.log(max(1, len(distinct))) * CERTAINTY
     chosen = np.flatnonzero(sure & (odds > LEAST_ODDS))
     chosen = chosen[np.argsort(-surprise[chosen], kind="stable")][:LEXICON]
-    kinds = kind_of[first[chosen]]
+    kinds = kind_of[chosen]
     voter = np.where(kinds == 0, np.cumsum(kinds == 0) % WORD_LEXICONS, WORD_LEXICONS + kinds - 1)
     order = np.argsort(distinct[chosen])
     return ToxicityModel(
@@ -212,16 +194,41 @@ def _surprise(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     return np.where(part > share, total * apart, 0.0)
 
 
-def _kinds_of(texts: pa.Array, hashes: np.ndarray) -> np.ndarray:
+def _document_counts(
+    texts: pa.Array, labels: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted term hashes, their kinds, and how many toxic and clean rows hold each.
+
+    Texts are counted a slice at a time and the counts added, so that the terms of one
+    slice are the most that is held at once.
+    """
+    held = [np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0), np.zeros(0)]
+    for start, end in text_slices(texts, 1 << 20):
+        part = texts.slice(start, end - start)
+        hashes, rows = terms(part)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        kinds = _kinds_of(part)[first]
+        pairs = np.unique(inverse * np.int64(end - start) + rows)
+        term, marks = pairs // (end - start), labels[start + pairs % (end - start)]
+        counts = [np.bincount(term[marks == c], minlength=len(distinct)) for c in (1, 0)]
+        both, first, place = np.unique(
+            np.concatenate([held[0], distinct]), return_index=True, return_inverse=True
+        )
+        kinds = np.concatenate([held[1], kinds])[first]
+        counts = [
+            np.bincount(place, np.concatenate([old, new]), len(both))
+            for old, new in zip(held[2:], counts)
+        ]
+        held = [both, kinds, *counts]
+    return tuple(held)
+
+
+def _kinds_of(texts: pa.Array) -> np.ndarray:
     """0 for words, then the place in PREFIXES from 1 on, in the order of ``terms``."""
-    kinds = []
-    for start, end in text_slices(texts):
-        found = words(texts.slice(start, end - start), _APART, lower=True)
-        sizes = found.ends - found.starts
-        kinds.append(np.zeros(len(sizes), np.int64))
-        for place, size in enumerate(PREFIXES):
-            kinds.append(np.full(int((sizes > size).sum()), place + 1))
-    return np.concatenate(kinds) if kinds else np.zeros(len(hashes), np.int64)
+    found = words(texts, _APART, lower=True)
+    sizes = found.ends - found.starts
+    counts = [len(sizes), *(int((sizes > size).sum()) for size in PREFIXES)]
+    return np.repeat(np.arange(len(counts), dtype=np.int8), counts)
 
 
 def vote_patterns(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -286,11 +293,21 @@ def _classifier(
     model: ToxicityModel, texts: pa.Array, targets: np.ndarray, prior: float
 ) -> ToxicityModel:
     """Logistic regression on the presence of single terms; rows weigh as in the corpus."""
-    presence = np.concatenate([model.presence(texts.slice(s, e - s)) for s, e in text_slices(texts)])
-    held = presence.sum(axis=0)
+    found = [
+        (start, *model._found(texts.slice(start, end - start)))
+        for start, end in text_slices(texts)
+    ]
+    rows = np.concatenate([start + at for start, at, _ in found])
+    entries = np.concatenate([entry for _, _, entry in found])
+    held = np.bincount(entries, minlength=len(model.hashes))
     kept = np.sort(np.argsort(-held, kind="stable")[:TERMS])
-    hits = presence.sum(axis=1, keepdims=True)
-    x = np.hstack([presence[:, kept], np.log1p(hits), hits > 0]).astype(float)
+    column = np.full(len(model.hashes), -1)
+    column[kept] = np.arange(len(kept))
+    hits = np.bincount(rows, minlength=len(texts))
+    x = np.zeros((len(texts), len(kept) + 2), np.float32)
+    used = column[entries] >= 0
+    x[rows[used], column[entries[used]]] = 1
+    x[:, -2], x[:, -1] = np.log1p(hits), hits > 0
     fitted = fit_logistic(x, targets, ridge=2e-4, rounds=25)
     weight = np.zeros(len(model.hashes))
     weight[kept] = fitted[: len(kept)]
