@@ -19,7 +19,7 @@ HEADLINE = (
     "entities_hydrated", "relations_by_filter", "relations_with_attributes",
     "relation_targets", "traverse_two_hops", "entity_versions", "space_parents",
     "triple_nearest_down", "inherited_triple", "inherited_relations", "schema_report",
-    "shortest_paths", "vector_topk", "vector_prefiltered", "vector_traverse", "text_search",
+    "shortest_paths", "shortest_path_counts", "vector_topk", "vector_prefiltered", "vector_traverse", "text_search",
     "typed_wide", "wide_to_triples", "typed_find", "proposals", "votes", "space_members",
     "op_routing", "entity_profile", "triples_with_names", "stream_ops_replay",
 )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from braidgraph.functions.predicates import Where, all_of, is_, one_of, snapshot
 from braidgraph.graph import Graph
-from braidgraph.vocabulary import DEFAULT_LIMIT, MAX_PAGE
+from braidgraph.vocabulary import MAX_PAGE
 
 
 @dataclass(frozen=True)
@@ -172,14 +172,17 @@ def find(
     graph: Graph,
     where: EntityFilter = EntityFilter(),
     order_by: OrderBy | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     skip: int = 0,
     version: str | None = None,
 ) -> DataFrame:
-    """Entity nodes that pass the filter, ordered and paged; ``limit=None`` returns all.
+    """Entity nodes that pass the filter, ordered and paged; without a limit, all of them.
 
+    A page needs its limit: rows cannot be skipped without one.
     Ordering by an attribute drops entities without it. Ids break ties.
     """
+    if limit is None and skip:
+        raise ValueError("skip needs a limit")
     if where.hops:
         nodes = graph.entities.join(matching(graph, where, version), "id", "left_semi")
     else:
@@ -200,7 +203,7 @@ def find(
         nodes = nodes.join(values, "id")
         key = F.col("sort_value")
         order.insert(0, key.desc() if order_by.descending else key.asc())
-    if limit is None and order_by is None and not skip:
+    if limit is None and order_by is None:
         return nodes
     nodes = nodes.orderBy(*order)
     if skip:

@@ -9,7 +9,6 @@ from braidgraph.functions.predicates import Where, snapshot
 from braidgraph.functions.values import from_text, to_text
 from braidgraph.graph import Graph
 from braidgraph.operators import entities
-from braidgraph.vocabulary import DEFAULT_LIMIT
 
 
 @dataclass(frozen=True)
@@ -88,14 +87,16 @@ def find(
     where: dict[str, Where] | None = None,
     space_id: str | None = None,
     version: str | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     skip: int = 0,
 ) -> DataFrame:
     """Typed rows of the entities of one type, filtered by field.
 
     Filters apply to the stored text and semi join before the view is built, so only
-    matching entities are aggregated.
+    matching entities are aggregated. Without a limit all rows are returned, unordered.
     """
+    if limit is None and skip:
+        raise ValueError("skip needs a limit")
     filters = [
         entities.HasAttribute(
             fields[name].attribute,
@@ -111,12 +112,10 @@ def find(
     wanted = entities.EntityFilter(attributes=filters, types=[type_id])
     current = entities.narrow(graph, current, wanted, "entity", version)
     rows = to_wide(current, fields).filter(complete(fields))
-    if limit is None and not skip:
+    if limit is None:
         return rows
     rows = rows.orderBy("entity")
-    if skip:
-        rows = rows.offset(skip)
-    return rows if limit is None else rows.limit(limit)
+    return (rows.offset(skip) if skip else rows).limit(limit)
 
 
 def relation_view(

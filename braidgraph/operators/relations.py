@@ -9,7 +9,6 @@ from braidgraph.functions.predicates import Where, all_of, snapshot
 from braidgraph.graph import Graph
 from braidgraph.operators import entities
 from braidgraph.operators.entities import EntityFilter
-from braidgraph.vocabulary import DEFAULT_LIMIT
 
 SYSTEM_PROPERTIES = ["created_at", "created_at_block", "updated_at", "updated_at_block"]
 
@@ -35,10 +34,12 @@ def find(
     graph: Graph,
     where: RelationFilter = RelationFilter(),
     version: str | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     skip: int = 0,
 ) -> DataFrame:
-    """Relation edges that match, by index and id; ``limit=None`` returns all unordered."""
+    """Relation edges that match: a page by index and id, or without a limit all, unordered."""
+    if limit is None and skip:
+        raise ValueError("skip needs a limit")
     filters = {
         "id": where.id,
         "relation_type": where.relation_type,
@@ -50,12 +51,10 @@ def find(
         found = _end(found, graph, "from_id", where.from_)
     if where.to is not None:
         found = _end(found, graph, "to_id", where.to)
-    if limit is None and not skip:
+    if limit is None:
         return found
     found = found.orderBy("index", "id")
-    if skip:
-        found = found.offset(skip)
-    return found if limit is None else found.limit(limit)
+    return (found.offset(skip) if skip else found).limit(limit)
 
 
 def lookup(graph: Graph, keys: DataFrame, version: str | None = None) -> DataFrame:

@@ -8,9 +8,6 @@ from braidgraph.graph import Graph
 from braidgraph.operators import governance, hierarchy, relations, triples
 from braidgraph.operators.entities import OrderBy, EntityFilter, check_page, find
 from braidgraph.operators.relations import RelationFilter
-from braidgraph.vocabulary import DEFAULT_LIMIT
-
-PROFILE_EDGES = 10
 
 
 def _names(graph: Graph) -> DataFrame:
@@ -126,11 +123,11 @@ def triples_with_names(
 
 
 def _first_edges(
-    graph: Graph, ids: DataFrame, inbound: bool, per_entity: int
+    graph: Graph, ids: DataFrame, inbound: bool, per_entity: int | None
 ) -> DataFrame:
     """The first relations of each entity by index and id, at most ``per_entity``.
 
-    The rank filter is pushed below the shuffle as a group limit, so a hub sends no
+    With None, all. The rank filter is pushed below the shuffle as a group limit, so a hub sends no
     more than ``per_entity`` rows from each task.
     """
     near, far = ("to_id", "from_id") if inbound else ("from_id", "to_id")
@@ -138,19 +135,23 @@ def _first_edges(
         F.col(near).alias("id"), F.col("id").alias("relation_id"), "relation_type",
         F.col(far).alias("other"), "index",
     )
+    edges = edges.join(ids.select("id").distinct(), "id", "left_semi")
+    if per_entity is None:
+        return edges.drop("index")
     order = Window.partitionBy("id").orderBy("index", "relation_id")
     return (
-        edges.join(ids.select("id").distinct(), "id", "left_semi")
-        .withColumn("rank", F.row_number().over(order))
+        edges.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= per_entity)
-        .drop("index")
+        .drop("index", "rank")
     )
 
 
 def entity_profile(
-    graph: Graph, ids: DataFrame, edges_per_entity: int = PROFILE_EDGES
+    graph: Graph, ids: DataFrame, edges_per_entity: int | None = None
 ) -> DataFrame:
-    """All attributes and the first in- and outbound relations of each id, with names.
+    """All attributes and the in- and outbound relations of each id, with names.
+
+    ``edges_per_entity`` keeps the first so many relations of either direction.
 
     Long form: ``section`` is attribute, inbound or outbound; ``label`` the name of the
     attribute or relation type; ``value`` the attribute value or the name at the other
@@ -182,7 +183,8 @@ def entity_page(
     where: EntityFilter = EntityFilter(),
     space_id: Where | None = None,
     order_by: OrderBy | None = None,
-    first: int = DEFAULT_LIMIT,
+    *,
+    first: int,
     skip: int = 0,
 ) -> DataFrame:
     """One page of the entities of a space that pass a filter."""
@@ -194,7 +196,8 @@ def entity_page(
 def relation_page(
     graph: Graph,
     where: RelationFilter = RelationFilter(),
-    first: int = DEFAULT_LIMIT,
+    *,
+    first: int,
     skip: int = 0,
     version: str | None = None,
 ) -> DataFrame:
@@ -234,7 +237,7 @@ def space_report(
     return spaces.fillna(0, counts)
 
 
-def page(rows: DataFrame, *order: str, first: int = DEFAULT_LIMIT, skip: int = 0) -> DataFrame:
+def page(rows: DataFrame, *order: str, first: int, skip: int = 0) -> DataFrame:
     """One page of a view."""
     rows = rows.orderBy(*order)
     return (rows.offset(skip) if skip else rows).limit(check_page(first))

@@ -113,7 +113,6 @@ PROPOSAL_STATUSES = ("Proposed", "Accepted", "Rejected", "Canceled", "Executed")
 GOVERNANCE_TYPES = ("Public", "Personal")
 DIRECTIONS = ("Up", "Down", "Bidirectional")
 UNVERSIONED = "0"
-DEFAULT_LIMIT = 100
 MAX_PAGE = 1000
 SIMILARITY_THRESHOLD = 0.75
 MAX_HOPS = 10

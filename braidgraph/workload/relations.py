@@ -80,7 +80,7 @@ def relations_page(spark, sf_dir):
         relation_type=Where(any_of=["located_in", "parent_space"]),
         space_id=Where(ne="nation:2"),
     )
-    return relations.find(fixtures.graph(spark, sf_dir), where, skip=30).select(*EDGE)
+    return relations.find(fixtures.graph(spark, sf_dir), where, limit=100, skip=30).select(*EDGE)
 
 
 @query("""
@@ -139,7 +139,7 @@ def relations_with_attributes(spark, sf_dir):
 )
 def relations_page_with_attributes(spark, sf_dir):
     tables = line_graph(spark, sf_dir)
-    edges = relations.find(tables, RelationFilter(relation_type=is_("contains")), skip=10)
+    edges = relations.find(tables, RelationFilter(relation_type=is_("contains")), limit=100, skip=10)
     page = relations.with_nodes(tables, relations.with_attribute_lists(tables, edges))
     shown = F.transform("attributes", lambda a: F.concat(a["attribute"], F.lit("="), a["value"]))
     return page.select("id", "from_id", "to_id", F.concat_ws("|", shown).alias("attributes"))

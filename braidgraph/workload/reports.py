@@ -17,12 +17,11 @@ def _edges(near: str, far: str, section: str) -> str:
     return f"""
     SELECT p.id, '{section}' AS section, r.id AS relation_id, r.relation_type AS label,
            coalesce(n.name, 'No name') AS value, r.{far} AS other
-    FROM (SELECT *, row_number() OVER (PARTITION BY {near} ORDER BY index, id) AS rn
-          FROM fx_relations) r
-    JOIN profiled_ids p ON p.id = r.{near} LEFT JOIN name_rows n ON n.id = r.{far} WHERE rn <= 10"""
+    FROM fx_relations r
+    JOIN profiled_ids p ON p.id = r.{near} LEFT JOIN name_rows n ON n.id = r.{far}"""
 
 
-# Attributes and first relations of every supplier, customer, nation and region.
+# Attributes and relations of every supplier, customer, nation and region.
 @query(
     "SELECT entity AS id, 'attribute' AS section, CAST(NULL AS STRING) AS relation_id, "
     "'No attribute name' AS label, value, CAST(NULL AS STRING) AS other "
@@ -141,7 +140,7 @@ def accounts_page(spark, sf_dir):
     rows = governance.accounts(
         governance_graph(spark, sf_dir), {"address": Where(gt="0x5e")}
     )
-    return reports.page(rows, "entity", skip=20)
+    return reports.page(rows, "entity", first=100, skip=20)
 
 
 LINKS = f"""

@@ -65,6 +65,8 @@ def test_order_and_page(people):
     assert [r["id"] for r in found.collect()] == ["bob"]
     with pytest.raises(ValueError):
         reports.entity_page(people, first=1001)
+    with pytest.raises(ValueError):
+        entities.find(people, skip=1)
 
 
 def test_hydrated_lists(people):
