@@ -8,37 +8,53 @@ from braidgraph.plans.lineage import materialize
 ROUNDS = 100
 
 
+def _roots(names: DataFrame) -> DataFrame:
+    """Each node's name followed to the end, halving the way in every round."""
+    for _ in range(ROUNDS):
+        ahead = names.select(F.col("node").alias("name"), F.col("name").alias("next"))
+        followed = materialize(names.join(ahead, "name").select("node", "name", "next"), "names")
+        names = followed.select("node", F.col("next").alias("name"))
+        if followed.filter("next < name").isEmpty():
+            return names
+    raise RuntimeError(f"names did not settle in {ROUNDS} rounds")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every end of ``links`` (a, b); the smallest node names it.
 
-    Each round takes the smallest name among the neighbours and then follows the name's
-    own name, so long chains shorten by half. Rounds are written to shared storage. Hot
-    nodes are the links' side of a join, which adaptive execution can split.
+    Each round names a node after its smallest neighbour, follows the names to the nodes
+    that have no smaller neighbour, and puts these in place of the nodes. Links within a
+    name are then gone, and at most half of the nodes go on, so links are read once a
+    round and soon few. The way back leads each node through the rounds' names. Rounds
+    are written to shared storage; hot nodes meet in partial aggregates, and as the
+    links' side of a join, which adaptive execution can split.
     """
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    both = materialize(both.distinct(), "links")
-    names = materialize(
-        both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("name")),
-        "names",
-    )
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left = materialize(links.select(*ends).distinct(), "links")
+    rounds = []
     for _ in range(ROUNDS):
-        told = both.join(names.select(F.col("node").alias("b"), "name"), "b").select(
-            F.col("a").alias("node"), "name", F.lit(None).cast("long").alias("was")
-        )
-        own = names.select("node", "name", F.col("name").alias("was"))
-        least = own.union(told).groupBy("node").agg(
-            F.min("name").alias("name"), F.max("was").alias("was")
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(
+            left.select(F.col("b"), F.col("a"))
         )
-        followed = least.alias("l").join(
-            names.alias("n"), F.col("l.name") == F.col("n.node"), "left"
+        least = both.groupBy("node").agg(F.min("near").alias("near"))
+        names = _roots(
+            materialize(least.select("node", F.least("node", "near").alias("name")), "names")
         )
-        after = followed.select(
-            F.col("l.node").alias("node"),
-            F.least("l.name", F.coalesce("n.name", "l.name")).alias("name"),
-            "l.was",
+        rounds.append(names)
+        renamed = left.join(
+            names.select(F.col("node").alias("a"), F.col("name").alias("name_a")), "a"
+        ).join(names.select(F.col("node").alias("b"), F.col("name").alias("name_b")), "b")
+        renamed = renamed.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+        left = materialize(renamed.filter("a != b").select(*ends).distinct(), "links")
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("node").alias("name"), F.col("name").alias("last"))
+        found = rounds.pop().join(later, "name", "left").select(
+            "node", F.coalesce("last", "name").alias("name")
         )
-        after = materialize(after, "names")
-        names = after.select("node", "name")
-        if after.filter("name < was").isEmpty():
-            return names.select("node", F.col("name").alias("component"))
-    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+        found = materialize(found, "names")
+    return found.select("node", F.col("name").alias("component"))

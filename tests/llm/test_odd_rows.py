@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +197,16 @@ def test_pipeline_stages(spark, data_dir):
     pieces = corpus_pipeline.run(spark, data_dir)
     kept = {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()}
     assert 0.5 * docs.count() < len(kept) < docs.count()
+
+
+def test_components_of_random_links(spark):
+    draw = random.Random(5)
+    links = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)]
+    links += [(1000 - i, 1000) for i in range(1, 60)] + [(941, 3), (7, 7), (2000, 2000)]
+    names = {end: end for link in links for end in link}
+    for _ in names:
+        for a, b in links:
+            names[a] = names[b] = min(names[a], names[b])
+    table = spark.createDataFrame(links, "a long, b long")
+    assert dict(components(table).collect()) == names
+    assert components(table.limit(0)).collect() == []
