@@ -8,7 +8,6 @@ come first, then deletes, relation creations and relation deletions.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidgraph.plans.skew import HOT_ROWS, hot_slots, with_time_slice
 from braidgraph.vocabulary import (
     CREATE_RELATION,
     DELETE_RELATION,
@@ -21,11 +20,13 @@ from braidgraph.vocabulary import (
 TRIPLE_KEY = ["entity", "attribute", "space_id"]
 RELATION_KEY = ["id", "space_id"]
 ORDER = ["block_number", "edit_idx", "phase", "op_pos"]
+# Blocks whose versions of one key are put in order by one task.
+SLICE_BLOCKS = 10_000
 
 
 def version_stamp(block: str = "block_number", idx: str = "edit_idx") -> Column:
-    """Version of an edit; string order equals log order."""
-    return F.format_string("%016d:%04d", F.col(block).cast("bigint"), F.col(idx).cast("int"))
+    """Version of an edit; string order equals log order for up to 10^8 edits of a block."""
+    return F.format_string("%016d:%08d", F.col(block).cast("bigint"), F.col(idx).cast("int"))
 
 
 def phase(op_type: str = "op_type") -> Column:
@@ -35,8 +36,10 @@ def phase(op_type: str = "op_type") -> Column:
 
 
 def edit_position(block: str = "block_number", idx: str = "edit_idx") -> Column:
-    """One number that grows with (block, edit)."""
-    return F.col(block) * 1_000_000 + F.col(idx)
+    """The place of an edit in the log; compares by block, then by edit."""
+    return F.struct(
+        F.col(block).cast("bigint").alias("block"), F.col(idx).cast("bigint").alias("edit")
+    )
 
 
 def _ordered(ops: DataFrame, op_types: list[str], versioning: bool) -> DataFrame:
@@ -45,63 +48,67 @@ def _ordered(ops: DataFrame, op_types: list[str], versioning: bool) -> DataFrame
         ops.filter(F.col("op_type").isin(op_types))
         .withColumn("version", version)
         .withColumn("phase", phase())
-        .withColumn("position", edit_position())
     )
 
 
-def _intervals(ops: DataFrame, key: list[str], opening: str, hot_rows: int) -> DataFrame:
+def _intervals(
+    ops: DataFrame, key: list[str], opening: str, versioning: bool, slice_blocks: int
+) -> DataFrame:
     """Valid-time intervals of the ``opening`` operations of each key.
 
-    Every operation ends at the version of the next one. An operation followed by
-    another at the same version is superseded; closing operations only end the row
-    before them.
+    Only the last operation of a key and version counts, which aggregates before the
+    shuffle however often a key is written. It ends at the next version of its key;
+    closing operations only end the row before them.
     """
-    hot = hot_slots(ops, key, hot_rows)
-    if not hot:
-        following = F.lead("version").over(Window.partitionBy(*key).orderBy(*ORDER))
-        rows = ops.withColumn("max_version", following)
-    else:
-        rows = _sliced_lead(with_time_slice(ops, key, "position", hot), key)
-    return (
-        rows.filter(F.col("op_type") == opening)
-        .filter(F.col("max_version").isNull() | (F.col("max_version") != F.col("version")))
-        .withColumnRenamed("version", "min_version")
+    payload = [name for name in ops.columns if name not in (*key, "version")]
+    last = (
+        ops.groupBy(*key, "version")
+        .agg(F.max_by(F.struct(*payload), F.struct(*ORDER)).alias("last"))
+        .select(*key, "version", "last.*")
     )
+    if versioning:
+        rows = _with_next_version(last, ops, key, slice_blocks)
+    else:
+        rows = last.withColumn("max_version", F.lit(None).cast("string"))
+    return rows.filter(F.col("op_type") == opening).withColumnRenamed("version", "min_version")
 
 
-def _sliced_lead(sliced: DataFrame, key: list[str]) -> DataFrame:
-    """The next version of each row where hot keys are split over several tasks.
+def _with_next_version(
+    last: DataFrame, ops: DataFrame, key: list[str], slice_blocks: int
+) -> DataFrame:
+    """The next version of each row, with a key's blocks dealt out in ranges.
 
-    Rows look ahead within their slice; the last row of a slice takes the first version
-    of the next slice of its key, from a table with one row per hot key and slice.
+    Rows look ahead within their range, so a task orders a bounded part of a hot key. The
+    last row of a range takes the first version of the key's next range, from a table
+    that holds only keys of several ranges, a row per key and range.
     """
-    in_slice = Window.partitionBy(*key, "slice").orderBy(*ORDER)
-    across = Window.partitionBy(*key).orderBy("slice")
+    block_range = F.floor(F.col("block_number") / slice_blocks)
+    in_range = Window.partitionBy(*key, "range").orderBy("block_number", "edit_idx")
+    across = Window.partitionBy(*key).orderBy("range")
     following = (
-        sliced.filter(F.col("slice") > 0)
-        .groupBy(*key, "slice")
-        .agg(F.min("version").alias("first_version"))
-        .withColumn("next_slice_version", F.lead("first_version").over(across))
-        .drop("first_version")
+        ops.groupBy(*key, block_range.alias("range"))
+        .agg(F.min(edit_position()).alias("first"))
+        .withColumn("next", F.lead("first").over(across))
+        .filter(F.col("next").isNotNull())
+        .select(*key, "range", version_stamp("next.block", "next.edit").alias("next_range_version"))
     )
     return (
-        sliced.withColumn("next_version", F.lead("version").over(in_slice))
-        .join(following, [*key, "slice"], "left")
-        .withColumn(
-            "max_version", F.coalesce(F.col("next_version"), F.col("next_slice_version"))
-        )
-        .drop("slice", "next_version", "next_slice_version")
+        last.withColumn("range", block_range)
+        .withColumn("next_version", F.lead("version").over(in_range))
+        .join(following, [*key, "range"], "left")
+        .withColumn("max_version", F.coalesce("next_version", "next_range_version"))
+        .drop("range", "next_version", "next_range_version")
     )
 
 
 def derive_triples(
-    ops: DataFrame, versioning: bool = True, hot_rows: int = HOT_ROWS
+    ops: DataFrame, versioning: bool = True, slice_blocks: int = SLICE_BLOCKS
 ) -> DataFrame:
     """All versions of all triples, with their validity intervals."""
     flat = _ordered(ops, [SET_TRIPLE, DELETE_TRIPLE], versioning).select(
-        "triple.*", "space_id", "version", "position", "op_type", *ORDER
+        "triple.*", "space_id", "version", "op_type", *ORDER
     )
-    return _intervals(flat, TRIPLE_KEY, SET_TRIPLE, hot_rows).select(
+    return _intervals(flat, TRIPLE_KEY, SET_TRIPLE, versioning, slice_blocks).select(
         *TRIPLE_KEY, "value", "value_type", "format", "unit", "language",
         "min_version", "max_version",
     )
@@ -124,7 +131,8 @@ def relation_creations(ops: DataFrame, existing: DataFrame | None = None) -> Dat
     """
     known = first_set(ops)
     if existing is not None:
-        before = existing.select("id", F.lit(-1).cast("bigint").alias("created_position"))
+        start = F.struct(F.lit(-1).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("edit"))
+        before = existing.select("id", start.alias("created_position"))
         known = (
             known.unionByName(before)
             .groupBy("id")
@@ -160,7 +168,7 @@ def derive_relations(
     ops: DataFrame,
     versioning: bool = True,
     existing: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    slice_blocks: int = SLICE_BLOCKS,
 ) -> DataFrame:
     """All versions of all relations; creations with a missing end are dropped."""
     accepted = relation_creations(ops, existing).filter("accepted").drop("accepted")
@@ -173,10 +181,10 @@ def derive_relations(
         F.col("relation.to_entity").alias("to_id"),
         F.col("relation.type").alias("relation_type"),
         F.col("relation.index").alias("index"),
-        "space_id", "version", "position", "op_type", "block_ts", *ORDER,
+        "space_id", "version", "op_type", "block_ts", *ORDER,
     )
     block = F.col("block_number").cast("string")
-    return _intervals(flat, RELATION_KEY, CREATE_RELATION, hot_rows).select(
+    return _intervals(flat, RELATION_KEY, CREATE_RELATION, versioning, slice_blocks).select(
         "id", "from_id", "to_id", "relation_type", "index", "space_id",
         "min_version", "max_version",
         F.col("block_ts").alias("created_at"), block.alias("created_at_block"),

@@ -56,7 +56,7 @@ class Dialect:
 
     def version(self, block: str, idx: str) -> str:
         call = "format_string" if self.name == "spark" else "printf"
-        return f"{call}('%016d:%04d', CAST({block} AS BIGINT), CAST({idx} AS BIGINT))"
+        return f"{call}('%016d:%08d', CAST({block} AS BIGINT), CAST({idx} AS BIGINT))"
 
 
 SPARK, DUCKDB = Dialect("spark"), Dialect("duckdb")

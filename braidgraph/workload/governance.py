@@ -262,7 +262,7 @@ SELECT block, edit, 500000 + block AS block_number,
 FROM (SELECT DISTINCT event_id // 50 AS block, event_id % 5 AS edit FROM events) e"""
 STAMPED = """
 SELECT block_number, edit_idx, edit_uri, space_id,
-       printf('%016d:%04d', block_number, edit_idx) AS version FROM edit_rows"""
+       printf('%016d:%08d', block_number, edit_idx) AS version FROM edit_rows"""
 
 
 def _published(spark, sf_dir):
@@ -331,7 +331,7 @@ def op_routing(spark, sf_dir):
 # Every edit as recorded in the indexer space, with its proposal and space relations.
 @query(
     "SELECT md5(edit_uri) AS entity, 'Edit ' || edit_uri AS name, edit_uri AS content_uri, "
-    "printf('%016d:%04d', block_number, edit_idx) AS edit_index, "
+    "printf('%016d:%08d', block_number, edit_idx) AS edit_index, "
     "md5(space_id || ':' || md5(edit_uri)) AS in_space, "
     "md5(md5('0xf0' || (block % 25) || ':e' || block || '-' || edit) || ':' || md5(edit_uri)) "
     "AS of_proposal FROM edit_rows",

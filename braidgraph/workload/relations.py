@@ -17,7 +17,7 @@ SEEN = """
 SELECT entity, min(block_number * 1000000 + edit_idx) AS seen FROM fx_ops
 WHERE op_type = 'SET_TRIPLE' GROUP BY entity"""
 ACCEPTED = """
-SELECT r.*, printf('%016d:%04d', r.block_number, r.edit_idx) AS version,
+SELECT r.*, printf('%016d:%08d', r.block_number, r.edit_idx) AS version,
        CASE r.op_type WHEN 'CREATE_RELATION' THEN 3 ELSE 4 END AS phase
 FROM fx_relation_ops r
 LEFT JOIN seen_at f ON f.entity = r.from_id LEFT JOIN seen_at t ON t.entity = r.to_id

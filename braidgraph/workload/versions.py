@@ -9,7 +9,17 @@ from braidgraph.workload import fixtures
 from braidgraph.workload.registry import query
 
 TRIPLE = ["entity", "attribute", "space_id", "value", "min_version"]
-AS_OF = "0000000000000100:0002"
+# The third edit of the block that three quarters of the blocks precede.
+AS_OF = "(SELECT printf('%016d:%08d', CAST(max(block_number) * 3 // 4 AS BIGINT), 2) FROM fx_ops)"
+UNDO_BLOCK = "(SELECT max(block_number) * 3 // 4 FROM fx_ops)"
+
+
+def late_block(log) -> int:
+    return log.agg(F.max("block_number")).first()[0] * 3 // 4
+
+
+def as_of(spark, sf_dir) -> str:
+    return f"{late_block(fixtures.ops(spark, sf_dir)):016d}:{2:08d}"
 
 
 def history_of(spark, sf_dir):
@@ -31,10 +41,10 @@ def triples_current(spark, sf_dir):
 
 @query(
     "SELECT entity, attribute, space_id, value, version AS min_version FROM fx_history "
-    f"WHERE version <= '{AS_OF}' AND (max_version IS NULL OR max_version > '{AS_OF}')"
+    f"WHERE version <= {AS_OF} AND (max_version IS NULL OR max_version > {AS_OF})"
 )
 def triples_as_of(spark, sf_dir):
-    return history_of(spark, sf_dir).filter(snapshot(AS_OF)).select(*TRIPLE)
+    return history_of(spark, sf_dir).filter(snapshot(as_of(spark, sf_dir))).select(*TRIPLE)
 
 
 def _derived(spark, sf_dir) -> Graph:
@@ -83,17 +93,15 @@ def entity_system_properties(spark, sf_dir):
     )
 
 
-UNDO_BLOCK = 120
-
-
 @query(
     "SELECT entity, attribute, space_id, value, version AS min_version, max_version FROM kept_history",
     kept_ops=f"SELECT * FROM fx_ops_ordered WHERE block_number <= {UNDO_BLOCK}",
     kept_history=fixtures._intervals("kept_ops", "entity, attribute, space_id", "SET_TRIPLE"),
 )
 def undo_after_block(spark, sf_dir):
-    log = history.undo_after(fixtures.ops(spark, sf_dir), UNDO_BLOCK)
-    return history.derive_triples(log).select(*TRIPLE, "max_version")
+    log = fixtures.ops(spark, sf_dir)
+    kept = history.undo_after(log, late_block(log))
+    return history.derive_triples(kept).select(*TRIPLE, "max_version")
 
 
 def edited_graph(spark, sf_dir) -> Graph:
@@ -189,16 +197,15 @@ def triple_lookup(spark, sf_dir):
     return triples.lookup(history_of(spark, sf_dir), keys).select(*TRIPLE)
 
 
-@query("""
+@query(f"""
 SELECT entity, attribute, space_id, value, version AS min_version FROM fx_history
-WHERE version <= '0000000000000100:0002'
-  AND (max_version IS NULL OR max_version > '0000000000000100:0002')
+WHERE version <= {AS_OF} AND (max_version IS NULL OR max_version > {AS_OF})
   AND attribute IN ('click', 'view') AND space_id <> 'space:0' AND value >= '20' AND value < '5'
 """)
 def triple_scan(spark, sf_dir):
     return triples.scan(
         history_of(spark, sf_dir), attribute=Where(any_of=["click", "view"]),
-        space_id=Where(ne="space:0"), value=Where(gte="20", lt="5"), version=AS_OF,
+        space_id=Where(ne="space:0"), value=Where(gte="20", lt="5"), version=as_of(spark, sf_dir),
     ).select(*TRIPLE)
 
 

@@ -74,7 +74,7 @@ def replay(rows, versioning=True):
     for block, edit, pos, space, op, entity, attribute, value in sorted(
         rows, key=lambda r: (r[0], r[1], phases[r[4]], r[2])
     ):
-        version = f"{block:016d}:{edit:04d}" if versioning else "0"
+        version = f"{block:016d}:{edit:08d}" if versioning else "0"
         key = (entity, attribute, space)
         if key in current:
             began, old = current.pop(key)

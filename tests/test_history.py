@@ -17,7 +17,7 @@ def test_versions_of_one_triple(spark):
     ops = log(spark, [(0, 0, 0, "s", SET, "abc", "name", "Alice"),
                       (1, 0, 0, "s", SET, "abc", "name", "NotAlice")])
     derived = history.derive_triples(ops)
-    first = "0000000000000000:0000"
+    first = "0000000000000000:00000000"
     assert values(derived.filter(snapshot())) == [("abc", "name", "NotAlice")]
     assert values(derived.filter(snapshot(first))) == [("abc", "name", "Alice")]
 
@@ -35,7 +35,7 @@ def test_delete_keeps_the_past(spark):
                       (1, 0, 0, "s", DELETE, "abc", "name", None)])
     derived = history.derive_triples(ops)
     assert values(derived.filter(snapshot())) == []
-    assert values(derived.filter(snapshot("0000000000000000:0000"))) == [("abc", "name", "Alice")]
+    assert values(derived.filter(snapshot("0000000000000000:00000000"))) == [("abc", "name", "Alice")]
 
 
 def test_unversioned_set_after_delete_reopens(spark):
@@ -62,17 +62,17 @@ def test_spaces_are_independent(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
-def test_intervals_equal_replay(spark, seed, hot_rows):
+@pytest.mark.parametrize("slice_blocks", [10**9, 7])
+def test_intervals_equal_replay(spark, seed, slice_blocks):
     operations = random_log(seed, 300)
-    derived = history.derive_triples(log(spark, operations), hot_rows=hot_rows)
+    derived = history.derive_triples(log(spark, operations), slice_blocks=slice_blocks)
     assert intervals(derived) == replay(operations)
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
-def test_unversioned_intervals_equal_replay(spark, hot_rows):
+@pytest.mark.parametrize("slice_blocks", [10**9, 7])
+def test_unversioned_intervals_equal_replay(spark, slice_blocks):
     operations = random_log(7, 300)
-    derived = history.derive_triples(log(spark, operations), False, hot_rows)
+    derived = history.derive_triples(log(spark, operations), False, slice_blocks)
     assert intervals(derived) == replay(operations, versioning=False)
 
 
@@ -80,7 +80,7 @@ def test_snapshot_equals_replay_of_prefix(spark):
     operations = random_log(11, 200)
     derived = history.derive_triples(log(spark, operations)).cache()
     for block in (5, 20, 39):
-        version = f"{block:016d}:0002"
+        version = f"{block:016d}:00000002"
         prefix = [o for o in operations if o[0] <= block]
         current = sorted(
             (e, a, v) for e, a, _, v, _, closed in replay(prefix) if closed is None
@@ -95,8 +95,17 @@ def test_undo_equals_replay_of_prefix(spark):
     assert intervals(history.derive_triples(kept)) == expected
 
 
+def test_versions_past_ten_thousand_edits_of_a_block(spark):
+    ops = log(spark, [(0, 9_999, 0, "s", SET, "abc", "name", "before"),
+                      (0, 10_000, 0, "s", SET, "abc", "name", "after")])
+    derived = history.derive_triples(ops)
+    as_of = f"{0:016d}:{9_999:08d}"
+    assert values(derived.filter(snapshot(as_of))) == [("abc", "name", "before")]
+    assert values(derived.filter(snapshot())) == [("abc", "name", "after")]
+
+
 def test_intervals_do_not_overlap(spark):
-    derived = intervals(history.derive_triples(log(spark, random_log(13, 300)), hot_rows=30))
+    derived = intervals(history.derive_triples(log(spark, random_log(13, 300)), slice_blocks=3))
     by_key = {}
     for entity, attribute, space, _, began, closed in derived:
         by_key.setdefault((entity, attribute, space), []).append((began, closed))
@@ -176,7 +185,7 @@ def test_partial_new_version_of_attributes(spark, voc):
     )
     derived = history.derive_triples(ops)
     assert values(derived.filter(snapshot())) == [("abc", "bar", "456"), ("abc", "foo", "hello")]
-    assert values(derived.filter(snapshot("0000000000000000:0000"))) == [
+    assert values(derived.filter(snapshot("0000000000000000:00000000"))) == [
         ("abc", "bar", "123"), ("abc", "foo", "hello")
     ]
 

@@ -145,8 +145,8 @@ def test_edits_are_resolved_and_numbered(spark):
     found = edits.published_edits(events)
     resolved = edits.resolve(found, landed)
     assert rows(resolved.select("edit_idx", "edit_uri", "version")) == [
-        (0, "ipfs://1", "0000000000000005:0000"), (1, "ipfs://2", "0000000000000005:0001"),
-        (2, "ipfs://3", "0000000000000005:0002"),
+        (0, "ipfs://1", "0000000000000005:00000000"), (1, "ipfs://2", "0000000000000005:00000001"),
+        (2, "ipfs://3", "0000000000000005:00000002"),
     ]
     assert rows(edits.unresolved(found, landed).select("content_uri", "reason")) == [
         ("ipfs://gone", "missing content"), ("ipfs://none", "missing imported edit"),
