@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from braidgraph.llm import (
@@ -17,6 +19,7 @@ from braidgraph.llm import (
     packing,
     secrets,
     substring,
+    tokens,
     toxicity,
 )
 from braidgraph.llm.components import components
@@ -84,6 +87,33 @@ def test_components_of_a_chain(spark):
     assert {found[i] for i in range(41)} == {0} and found[101] == 100
 
 
+SPECIAL = "<|endoftext|>"
+SPECIAL_TEXTS = [
+    f"{SPECIAL}ab cd", f"ab{SPECIAL}cd", f"ab {SPECIAL}", f"ab  {SPECIAL} cd", f"a\n{SPECIAL}\nb",
+    f"a\t{SPECIAL}.", f" {SPECIAL}{SPECIAL} ", f"don't{SPECIAL}'s", "<|endoftext |> <|endoftext|",
+]
+
+
+def test_special_strings_are_encoded_as_by_the_library(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [library.encode(text, add_special_tokens=False).ids for text in SPECIAL_TEXTS]
+    assert ids[1] == [397, 50256, 10210]
+    encoder = tokens.Encoder(tokens.vocabulary())
+    assert [np.frombuffer(own, "<u2").tolist() for own in encoder.encode(SPECIAL_TEXTS)] == ids
+    docs = spark.createDataFrame(list(enumerate(SPECIAL_TEXTS)), "doc_id long, text string")
+    path = scratch_path(spark, "special")
+    elias_fano.write_corpus(docs, path, end_id=2)
+    rows = elias_fano.read_documents(spark, path).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in rows] == [len(own) + 1 for own in ids]
+    assert [r["ids_crc32"] for r in rows] == [
+        tokens.ids_crc32(np.array([*own, 2])) for own in ids
+    ]
+    assert [r["start"] for r in rows] == [sum(len(own) + 1 for own in ids[:i]) for i in range(len(ids))]
+    packed = packing.pack(docs, size=64, end_id=1, with_ids=True).collect()
+    found = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packed}
+    assert found == {i: [*own, 1] for i, own in enumerate(ids)}
+
+
 def test_packing_of_odd_rows(odd, nothing):
     rows = packing.pack(odd, size=64, with_ids=True).collect()
     assert all(len(r["ids"]) == 4 * r["length"] for r in rows)
