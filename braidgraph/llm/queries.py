@@ -46,6 +46,16 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, declared=F.col("lang"), host=F.col("source"))
 
 
+@_register
+def op2_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web pages, with the language of their markup and the parts of their address."""
+    declared, (host, suffix) = language.markup_language(F.col("html")), language.address_parts(F.col("url"))
+    found = language.identify(
+        _table(spark, sf_dir, "pages"), declared, host, suffix, text="html", key="page_id"
+    )
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 @_register
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)

@@ -17,6 +17,7 @@ from braidgraph.llm import (
     language,
     neardup,
     packing,
+    queries,
     secrets,
     substring,
     tokens,
@@ -70,6 +71,26 @@ def test_language_of_pages(spark):
     assert found.filter("accepted").count() > 0.9 * pages.count()
 
 
+def test_every_page_gets_a_language_from_markup_and_address(spark, result, data_dir, tmp_path):
+    pages = spark.read.parquet(f"{data_dir}/pages.parquet")
+    declared = dict(pages.select("page_id", language.markup_language(F.col("html"))).collect())
+    found = {r["page_id"]: r["language"] for r in result("op2_language_pages")}
+    assert len(result("op2_language_pages")) == pages.count() and found.keys() == declared.keys()
+    assert np.mean([found[page] == declared[page] for page in found]) > 0.98
+    # The last two pages say nothing but by the suffix of a host that is met once.
+    words = {"de": "radio nicht schön über", "fr": "radio était déjà très"}
+    rows = [
+        (i, f"https://h{i % 3}.example.{code}/", f'<html lang="{code}">{words[code]}</html>')
+        for i, code in enumerate(["de", "fr"] * 40)
+    ]
+    rows += [(80, "https://new.example.de/", "radio"), (81, "https://new.example.fr/", "radio")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    table.write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.QUERIES["op2_language_pages"](spark, str(tmp_path)).collect()
+    assert {r["page_id"]: r["language"] for r in found if r["page_id"] >= 80} == {80: "de", 81: "fr"}
+    assert len(found) == len(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     rows = neardup.near_duplicates(odd, 3, 85).collect()
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows}
