@@ -260,3 +260,51 @@ def test_ids_of_null_parts_are_null(spark):
     found = rows.select(ids.space_id("n", "a").alias("s"), ids.account_id("a").alias("k")).collect()
     assert [r["s"] is None for r in found] == [False, True, True, True]
     assert [r["k"] is None for r in found] == [False, True, False, True]
+
+
+def test_late_content_is_taken_up(spark, folder):
+    events = {
+        2: {**published("ipfs://1", "ipfs://all"), "spaces_created": [CREATED]},
+        3: published("ipfs://3"), 4: published("ipfs://gone"), 5: {},
+    }
+    log, whole = ingest.Log(f"{folder}/late"), ingest.Log(f"{folder}/whole")
+    ingest.append_batch(blocks(spark, events), 0, whole, content(spark, EDITS))
+
+    def written(which):
+        both = (which.indexer_ops, which.edit_ops)
+        return [sorted(map(repr, ingest.read_ops(spark, which, path).collect())) for path in both]
+
+    def waiting(which):
+        return rows(ingest.pending_edits(spark, which))
+
+    def part(*numbers):
+        return blocks(spark, {n: events[n] for n in numbers})
+
+    two = content(spark, [item for item in EDITS if item["uri"] in ("ipfs://2", "ipfs://odd")])
+    ingest.append_batch(part(2, 3), 0, log, two)
+    assert written(log)[1] == [] and waiting(log) == [
+        (2, "ipfs://1"), (2, "ipfs://all"), (3, "ipfs://3")
+    ]
+    some = content(spark, [item for item in EDITS if item["uri"] != "ipfs://3"])
+    for _ in range(2):
+        # The same batch again replaces itself, and so do the blocks it takes up.
+        ingest.append_batch(part(4, 2), 1, log, some)
+        assert waiting(log) == [(2, "ipfs://none"), (3, "ipfs://3"), (4, "ipfs://gone")]
+    ingest.append_batch(part(5), 2, log, content(spark, EDITS))
+    assert written(log) == written(whole) and written(log)[1]
+    assert waiting(log) == waiting(whole) == [(2, "ipfs://none"), (4, "ipfs://gone")]
+    assert tuple(ingest.progress(spark, log).first())[0::2] == (5, 4)
+    # The last content lands when no more blocks come.
+    last = content(spark, [*EDITS, edit("ipfs://none", ("SET_TRIPLE", "x", "name", "X")),
+                           edit("ipfs://gone", ("SET_TRIPLE", "y", "name", "Y"))])
+    full = ingest.Log(f"{folder}/full")
+    ingest.append_batch(blocks(spark, events), 0, full, last)
+    for _ in range(2):
+        ingest.retry(spark, log, 0, last)
+        assert written(log) == written(full) and waiting(log) == []
+    # A reorg takes back what was written anew with the batch in which the block arrived.
+    ingest.signal_undo(spark, log, last_valid_block=1, batch=0)
+    left = {r["block_number"] for r in ingest.read_ops(spark, log, log.edit_ops).collect()}
+    assert left == {4}
+    ingest.append_batch(part(2, 3), 3, log, last)
+    assert written(log) == written(full)
