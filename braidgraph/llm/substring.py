@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, with_text: bool = False) ->
     id lose nothing and take nothing from others. Rows that repeat an id are one
     document: they take nothing from each other and lose the same places. An empty table
     gives no rows; other columns are ignored. Windows are told apart by a 64-bit hash
-    and the bucket of a second one.
+    alone; their words are not compared.
     """
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     shape += ", kept_text string" if with_text else ""
