@@ -14,6 +14,7 @@ from braidgraph.llm import (
     neardup,
     packing,
     secrets,
+    spelling,
     substring,
     toxicity,
 )
@@ -118,3 +119,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, ~held_out(4, 2), "toxic")
     return _scored(toxicity.score(docs, model), 4, 2, 0.3)
+
+
+@_register
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
