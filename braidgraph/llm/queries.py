@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidgraph.llm import (
+    alignment,
     compression,
     decontaminate,
     elias_fano,
@@ -124,3 +125,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
