@@ -14,6 +14,7 @@ from braidgraph.llm import (
     language,
     neardup,
     packing,
+    phrases,
     secrets,
     spelling,
     substring,
@@ -130,3 +131,8 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeated_bytes(_table(spark, sf_dir, "documents"), width=100)
