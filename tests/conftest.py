@@ -21,7 +21,3 @@ def spark():
 @pytest.fixture(scope="session")
 def voc():
     return VOCABULARY
-
-
-def rows(df):
-    return sorted(tuple(row) for row in df.collect())

@@ -91,4 +91,8 @@ def intervals(df):
     return sorted((tuple(r) for r in table.collect()), key=repr)
 
 
-__all__ = ["graph", "history", "intervals", "log", "random_log", "relation_log", "replay"]
+def rows(df):
+    return sorted(tuple(row) for row in df.collect())
+
+
+__all__ = ["graph", "history", "intervals", "log", "random_log", "relation_log", "replay", "rows"]

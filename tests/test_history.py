@@ -1,6 +1,5 @@
 import pytest
-from conftest import rows
-from helpers import intervals, log, random_log, relation_log, replay
+from helpers import intervals, log, random_log, relation_log, replay, rows
 
 from braidgraph.functions.predicates import snapshot
 from braidgraph.operators import history, writes

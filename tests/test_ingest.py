@@ -1,8 +1,8 @@
 import tempfile
 from dataclasses import replace
+from helpers import rows
 
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
 
 from braidgraph import schema

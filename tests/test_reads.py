@@ -1,6 +1,5 @@
 import pytest
-from conftest import rows
-from helpers import graph
+from helpers import graph, rows
 
 from braidgraph.functions.predicates import Where, is_
 from braidgraph.operators import conformance, entities, hierarchy, overlay, relations, reports

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from braidgraph.workload import ORACLES, QUERIES
 from braidgraph.workload.fixtures import TABLES
 from tools.check import rows_of
 
@@ -35,7 +36,12 @@ def test_query_equals_oracle(spark, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_entry_holds_the_library():
+    assert set(QUERIES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
