@@ -36,10 +36,10 @@ TRIGGER = 32
 # Phrases of one trigger that are compared in one place.
 HOT = 20_000
 # Phrases a task decides among at once, and window starts hashed at once.
-GROUP_PHRASES = 400_000
-CHUNK_STARTS = 1 << 20
+GROUP_PHRASES = 150_000
+CHUNK_STARTS = 1 << 17
 # Text of a bucket, so that its phrases stay small whatever the input.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 
 _PACK = zstandard.ZstdCompressor(level=1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +174,13 @@ class _Held:
         self.size += len(columns["docs"])
 
     def columns(self) -> dict[str, np.ndarray]:
-        return {name: np.concatenate(parts) for name, parts in self.parts.items() if parts}
+        """The phrases as one array a column; nothing is held any longer."""
+        found = {}
+        for name, parts in self.parts.items():
+            if parts:
+                found[name] = np.concatenate(parts)
+                parts.clear()
+        return found
 
     def parcel(self, row: dict) -> None:
         """Add the phrases of a packed row."""
@@ -210,8 +216,10 @@ def _marks(held: dict, at: np.ndarray, actions: np.ndarray, bucket: int) -> pa.R
     return pa.RecordBatch.from_arrays(arrays, schema=_MARK_SCHEMA)
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+def _bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by a hash of the values; triggers are least hashes, so small ones."""
+    high = mix(values ^ _BASE) >> np.uint64(32)
+    return (high * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def _decide(held: _Held, hashes: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -219,7 +227,7 @@ def _decide(held: _Held, hashes: list[np.ndarray], buckets: int) -> Iterator[pa.
     own = held.columns()
     order, _, later = _first_of(own["names"], own["docs"], own["starts"])
     known = {name: values for name, values in own.items() if name != "names"}
-    for bucket, at in _deal(_bucket_of(mix(own["docs"][order[later]].view(np.uint64)), buckets)):
+    for bucket, at in _deal(_bucket_of(own["docs"][order[later]].view(np.uint64), buckets)):
         yield _parcel(bucket, 1, known, order[later][at], None)
     kept = order[~later]
     for bucket, at in _deal(_bucket_of(np.concatenate(hashes)[kept], buckets)):
@@ -372,10 +380,15 @@ def _compared_parcels(rows: list[tuple], buckets: int, width: int) -> Iterator[p
             yield _parcel(bucket, COMPARED, columns, at, _compressed(b"".join(pieces[i] for i in at)))
     if hot.size:
         columns = hot.columns()
-        for bucket, at in _deal(_bucket_of(mix(columns["names"][:, 0]), buckets)):
+        for bucket, at in _deal(_bucket_of(columns["names"][:, 0], buckets)):
             yield _parcel(bucket, NAMED, columns, at, None)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for start in range(0, batch.num_rows, 256):
+        yield from batch.slice(start, 256).to_pylist()
+
+
 def _squeezed(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, packed): whole texts, compressed for the way to their marks."""
 
@@ -401,7 +414,7 @@ def repeated_marks(docs: DataFrame, width: int, hot: int = HOT) -> DataFrame:
         held, hashes = _Held(), []
         for batch in batches:
             ids, copies = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for start, end in text_slices(batch.column(2)):
+            for start, end in text_slices(batch.column(2), BLOCK_BYTES // 2):
                 data, offsets = text_bytes(batch.column(2).slice(start, end - start))
                 raw = data.tobytes()
                 for rows, first, last, triggers, found in parse(data, offsets, width):
@@ -422,7 +435,7 @@ def repeated_marks(docs: DataFrame, width: int, hot: int = HOT) -> DataFrame:
     def parcels(batches):
         rows, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 rows.append((row["doc_id"], row["copy"], zstandard.decompress(row["packed"]), row["marks"]))
                 size += sum(mark["count"] + width for mark in row["marks"])
                 if size >= BLOCK_BYTES:
@@ -465,7 +478,7 @@ def remove_repeated_bytes(
     def cut(batches):
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 data = zstandard.decompress(row["packed"])
                 kept, at, spans = [], 0, 0
                 runs = sorted((run["start"], run["start"] + run["count"] - 1 + width) for run in row["runs"] or ())
