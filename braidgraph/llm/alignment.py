@@ -35,8 +35,9 @@ from braidgraph.plans.lineage import materialize
 
 CHUNK_LINKS = 4_000_000
 CHUNK_DOCUMENTS = 100_000
-CACHED_PIECES = 150_000
-CACHED_CHARACTERS = 64
+CACHED_PIECES = 250_000
+# Bytes of text that are looked through for new pieces at once.
+SLICE_BYTES = 2 << 20
 # Pairs of a run that a merge unpacks at once.
 BLOCK_PAIRS = 8_192
 # Ids of both sides and a document's place in its chunk share 64 bits.
@@ -56,52 +57,13 @@ def _unpacked(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
-def align(a: list[int], sizes_a: list[int], b: list[int], sizes_b: list[int]) -> tuple[array, list]:
-    """Links (id of B times 65536 plus id of A) and groups of two token sequences.
-
-    The sequences cover the same bytes, and every token covers some.
-    """
-    links, groups = array("I"), []
-    i = j = first_a = first_b = 0
-    end_a, end_b = sizes_a[a[0]], sizes_b[b[0]]
-    while True:
-        links.append(b[j] << 16 | a[i])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        i, j = i + step_a, j + step_b
-        if step_a and step_b:
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
-            if i == len(a):
-                return links, groups
-        if step_a:
-            end_a += sizes_a[a[i]]
-        if step_b:
-            end_b += sizes_b[b[j]]
-
-
-class _Aligned(dict):
-    """Alignments of pieces, each made when first met; ``lead`` stands before every piece."""
-
-    def __init__(self, aligner: "Aligner", lead: str) -> None:
-        super().__init__()
-        self._aligner, self._lead = aligner, lead
-
-    def __missing__(self, piece: str) -> tuple:
-        found = self._aligner.piece(self._lead + piece)
-        if len(piece) <= CACHED_CHARACTERS:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-                self._aligner.forget()
-            self[piece] = found
-        return found
-
-
 class Aligner:
     """Aligns texts by a vocabulary of each kind; made once per task.
 
     A piece starts with white space, and its alignment is (tokens of A, tokens of B, groups,
-    links, text of the groups). No entry of B's vocabulary holds white space after
-    anything else, but for carriage returns; texts with these are aligned in one.
+    links, text of the groups). Pieces not met before are encoded and aligned many at once.
+    No entry of B's vocabulary holds white space after anything else, but for carriage
+    returns; texts with these are aligned in one.
     """
 
     def __init__(self, vocabulary_a: str, vocabulary_b: bytes) -> None:
@@ -113,69 +75,140 @@ class Aligner:
         self._b = sentencepiece.SentencePieceProcessor(model_proto=vocabulary_b)
         if max(tokenizer.get_vocab_size(), self._b.get_piece_size()) > MOST_IDS:
             raise ValueError(f"vocabularies of more than {MOST_IDS} ids")
-        self._pieces = _Pieces(tokenizer, np.dtype("<u2"), "")
         # A's entries are written with a character for each byte.
         bytes_of = {chr(byte if byte in _VISIBLE else _BYTES[byte]): byte for byte in range(256)}
-        self._bytes_a = {}
+        self._bytes_a = [b""] * MOST_IDS
         for entry, token in tokenizer.get_vocab().items():
             known = all(c in bytes_of for c in entry)
             self._bytes_a[token] = bytes(bytes_of[c] for c in entry) if known else entry.encode()
-        self._bytes_b = {
-            token: bytes([int(self._b.id_to_piece(token)[3:5], 16)])
+        self._bytes_b = [
+            bytes([int(self._b.id_to_piece(token)[3:5], 16)])
             if self._b.is_byte(token)
             else self._b.id_to_piece(token).replace("\u2581", " ").encode()
             for token in range(self._b.get_piece_size())
-        }
-        self._sizes_a = {token: len(data) for token, data in self._bytes_a.items()}
-        self._sizes_b = {token: len(data) for token, data in self._bytes_b.items()}
+        ]
+        self._sizes_a = np.array([len(data) for data in self._bytes_a])
+        self._sizes_b = np.array([len(data) for data in self._bytes_b])
+        self._names = [str(token) for token in range(MOST_IDS)]
         self._space = self._b.piece_to_id("\u2581")
-        self._spaced, self._lined = _Aligned(self, " "), _Aligned(self, "\n")
-        self._other = _Aligned(self, "")
+        # Alignments by what stands after the lead, and ids of A by the same.
+        self._known: dict[str, dict[str, tuple]] = {" ": {}, "\n": {}, "": {}}
+        kind = np.dtype("<u2")
+        self._ids_a = {lead: _Pieces(tokenizer, kind, lead if lead == " " else "") for lead in self._known}
+        self._ids_a[" "].tails = self._ids_a[""]
         self._odd = False
 
-    def forget(self) -> None:
-        self._pieces.clear()
-
-    def _joined(self, text: str, a: list[int], b: list[int]) -> tuple:
-        data = text.encode()
-        if b"".join(map(self._bytes_a.__getitem__, a)) != data:
-            return _BROKEN
-        if b"".join(map(self._bytes_b.__getitem__, b)) != data:
-            return _BROKEN
-        links, groups = align(a, self._sizes_a, b, self._sizes_b)
-        return len(a), len(b), len(groups), links.tobytes(), ";".join(groups)
-
-    def piece(self, piece: str) -> tuple:
-        """The alignment of a piece; _WHOLE if it can't be told apart from its neighbours."""
-        a = array("H", self._pieces[piece]).tolist()
-        if piece[0] == " ":
-            b = self._b.encode(piece[1:]) if len(piece) > 1 else [self._space]
+    def _encoded_a(self, piece: str, lead: str) -> list[int]:
+        if lead == "\n":
+            ids = self._ids_a[""]["\n"] + self._ids_a[""][piece] if piece else self._ids_a[""]["\n"]
+        elif lead == " " and not piece:
+            ids = self._ids_a[""][" "]
         else:
-            b = self._b.encode(piece)
-            if b[:1] != [self._space]:
-                b = None
+            ids = self._ids_a[lead][piece]
+        return array("H", ids).tolist()
+
+    def _learn(self, pieces: list[str], lead: str) -> None:
+        known = self._known[lead]
+        if len(known) + len(pieces) > CACHED_PIECES:
+            known.clear()
+            for held in self._ids_a.values():
+                held.clear()
+        a = [self._encoded_a(piece, lead) for piece in pieces]
+        whole = [lead + piece for piece in pieces]
+        # B puts a space before a text: it is the piece's own, or a token that goes again.
+        spaced = [piece[0] == " " for piece in whole]
+        found = self._b.encode([p[1:] if own else p for p, own in zip(whole, spaced)], num_threads=1)
+        b = []
+        for own, piece, ids in zip(spaced, whole, found):
+            if own:
+                b.append(ids or [self._space])
             else:
-                b = b[1:]
-        found = _WHOLE if b is None or "\r" in piece else self._joined(piece, a, b)
-        self._odd |= len(found) < 2
-        return found
-
-    def text(self, text: str | None) -> tuple | None:
-        """The alignment of a text with a space before it; None if it has no tokens."""
-        if not text:
-            return None
-        if "\r" in text:
+                b.append(ids[1:] if ids[0] == self._space and "\r" not in piece else None)
+        known.update(zip(pieces, self._aligned(whole, a, b)))
+
+    def _aligned(self, texts: list[str], a: list, b: list) -> list[tuple]:
+        """The alignment of each text; _BROKEN if a side differs, _WHOLE if B is None."""
+        bytes_a, bytes_b = self._bytes_a.__getitem__, self._bytes_b.__getitem__
+        result: list[tuple] = []
+        good = []
+        for at, (text, ids_a, ids_b) in enumerate(zip(texts, a, b)):
+            data = text.encode()
+            if ids_b is None:
+                result.append(_WHOLE)
+            elif b"".join(map(bytes_a, ids_a)) != data or b"".join(map(bytes_b, ids_b)) != data:
+                result.append(_BROKEN)
+            else:
+                result.append((len(ids_a), len(ids_b)))
+                good.append(at)
+        self._odd |= len(good) < len(texts)
+        if not good:
+            return result
+        all_a = [token for at in good for token in a[at]]
+        all_b = [token for at in good for token in b[at]]
+        ids_a, ids_b = np.array(all_a, np.uint32), np.array(all_b, np.uint32)
+        ends_a, ends_b = np.cumsum(self._sizes_a[ids_a]), np.cumsum(self._sizes_b[ids_b])
+        # Between two ends of either side lie one token of A and one of B: a link.
+        ends = np.union1d(ends_a, ends_b)
+        links = ids_b[np.searchsorted(ends_b, ends)] << np.uint32(16) | ids_a[np.searchsorted(ends_a, ends)]
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        names_a = list(map(self._names.__getitem__, all_a))
+        names_b = list(map(self._names.__getitem__, all_b))
+        cuts_a = (np.searchsorted(ends_a, both) + 1).tolist()
+        cuts_b = (np.searchsorted(ends_b, both) + 1).tolist()
+        groups, first_a, first_b = [], 0, 0
+        for cut_a, cut_b in zip(cuts_a, cuts_b):
+            groups.append(f"{','.join(names_a[first_a:cut_a])}|{','.join(names_b[first_b:cut_b])}")
+            first_a, first_b = cut_a, cut_b
+        last = ends_a[np.cumsum([result[at][0] for at in good]) - 1]
+        blob = links.astype("<u4").tobytes()
+        first_link = first_group = 0
+        after_link = ((np.searchsorted(ends, last) + 1) * 4).tolist()
+        after_group = (np.searchsorted(both, last) + 1).tolist()
+        for at, end_link, end_group in zip(good, after_link, after_group):
+            text = ";".join(groups[first_group:end_group])
+            result[at] += (end_group - first_group, blob[first_link:end_link], text)
+            first_link, first_group = end_link, end_group
+        return result
+
+    def texts(self, texts: list[str | None]) -> list[tuple | None]:
+        """The alignment of each text with a space before it; None if it has no tokens."""
+        plans: list[dict[str, list[str]] | None] = []
+        for text in texts:
+            if not text or "\r" in text:
+                plans.append(None)
+                continue
+            ends = text[0] + text[-1]
+            if " " in ends or "\n" in ends or any(mark in text for mark in _UNEVEN):
+                plans.append({"": _PIECE.findall(" " + text)})
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+                plans.append({" ": lines, "\n": [line[0] for line in lines[1:]]})
+        for lead, known in self._known.items():
+            wanted: set[str] = set()
+            for plan in plans:
+                wanted.update(*_lead_pieces(plan, lead))
+            missing = wanted.difference(known)
+            if len(known) + len(missing) > CACHED_PIECES:
+                known.clear()
+                for held in self._ids_a.values():
+                    held.clear()
+                missing = wanted
+            if missing:
+                self._learn(list(missing), lead)
+        return [self._text(text, plan) if text else None for text, plan in zip(texts, plans)]
+
+    def _text(self, text: str, plan: dict | None) -> tuple | None:
+        if plan is None:
             return self._in_one(text)
-        ends = text[0] + text[-1]
-        if " " in ends or "\n" in ends or any(mark in text for mark in _UNEVEN):
-            found = list(map(self._other.__getitem__, _PIECE.findall(" " + text)))
+        if "" in plan:
+            found = list(map(self._known[""].__getitem__, plan[""]))
         else:
-            first, *lines = text.split("\n")
-            found = list(map(self._spaced.__getitem__, first.split(" ")))
-            for line in lines:
-                word, *rest = line.split(" ")
-                found.append(self._lined[word])
-                found += map(self._spaced.__getitem__, rest)
+            spaced, lined = self._known[" "].__getitem__, self._known["\n"].__getitem__
+            first, *rest = plan[" "]
+            found = list(map(spaced, first))
+            for line in rest:
+                found.append(lined(line[0]))
+                found += map(spaced, line[1:])
         if self._odd:
             if _BROKEN in found:
                 return None
@@ -186,8 +219,19 @@ class Aligner:
 
     def _in_one(self, text: str) -> tuple | None:
         spaced = " " + text
-        ids = b"".join(map(self._pieces.__getitem__, _PIECE.findall(spaced)))
-        return self._joined(spaced, array("H", ids).tolist(), self._b.encode(text)) or None
+        ids = b"".join(map(self._ids_a[""].__getitem__, _PIECE.findall(spaced)))
+        found = self._aligned([spaced], [array("H", ids).tolist()], [self._b.encode(text)])[0]
+        return found or None
+
+
+def _lead_pieces(plan: dict | None, lead: str) -> list[list[str]]:
+    """The pieces of a text that stand behind a lead, without it."""
+    if plan is None or lead not in plan:
+        return []
+    if lead == " ":
+        first, *rest = plan[lead]
+        return [first, *(line[1:] for line in rest)]
+    return [plan[lead]]
 
 
 SPILLED = "chunk long, part int, pairs binary, sums binary, docs binary, records binary"
@@ -335,10 +379,10 @@ def align_tokenizers(
                 yield pa.RecordBatch.from_arrays(columns, schema=_SPILL_SCHEMA)
 
         for batch in batches:
-            for start, end in text_slices(batch.column(1)):
+            for start, end in text_slices(batch.column(1), SLICE_BYTES):
                 part = batch.slice(start, end - start)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = aligner.text(text)
+                aligned = aligner.texts(part.column(1).to_pylist())
+                for doc_id, found in zip(part.column(0).to_pylist(), aligned):
                     if found is None:
                         rows.append((doc_id, 0, 0, 0, 0, ""))
                         links.append(b"")
