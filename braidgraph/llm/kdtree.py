@@ -23,6 +23,11 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
 SCALE = 256
 
+# Scores end here, and components where their products stay finite.
+MOST_SCORE = 2**62
+LEAST_SCORE = -(2**60)
+MOST_COMPONENT = 1e150
+
 _FLOOR = np.iinfo(np.int64).min // 4
 
 
@@ -99,7 +104,8 @@ class Tree:
                         heapq.heappush(heap, item)
                 continue
             start, end = self.bounds[node]
-            found = (queries[rows] @ self.points[start:end].T).astype(np.int64)
+            found = queries[rows] @ self.points[start:end].T
+            found = np.clip(found, LEAST_SCORE, MOST_SCORE).astype(np.int64)
             here = np.broadcast_to(self.ids[start:end], found.shape)
             found = np.where(here == own[rows, None], _FLOOR, found)
             all_scores = np.hstack([scores[rows], found])
@@ -136,7 +142,9 @@ def whole_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedd
                 if len(parts) and np.isfinite(parts).all():
                     keys.append(vec_id)
                     sizes.append(len(parts))
-                    blobs.append(np.floor(SCALE * parts).astype("<f8").tobytes())
+                    with np.errstate(over="ignore"):
+                        whole = np.clip(np.floor(SCALE * parts), -MOST_COMPONENT, MOST_COMPONENT)
+                    blobs.append(whole.astype("<f8").tobytes())
             arrays = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 [*arrays, pa.array(blobs, pa.binary())], names=["vec_id", "size", "vector"]
@@ -197,7 +205,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     query_id, rank from 1, vec_id and score, ties to the smaller vec_id. Vectors that
     are null, empty, hold a null or a non-finite component or have no id take no part;
     a query meets the vectors of its own length only. Rows that repeat an id are
-    candidates once each. Empty tables give no rows; other columns are ignored.
+    candidates once each. Scores are exact up to 2^53 and end at -2^60 and 2^62, where
+    ties go to the smaller vec_id. Empty tables give no rows; other columns are ignored.
     """
     searched = materialize(whole_vectors(vectors), "vectors")
     asked = whole_vectors(queries).dropDuplicates(["vec_id", "size"])
