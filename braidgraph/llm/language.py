@@ -140,6 +140,10 @@ def markup_language(html: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
+def _main_part(code: Column) -> Column:
+    return F.lower(F.regexp_extract(code, r"^\s*([^\s_-]*)", 1))
+
+
 def identify(
     docs: DataFrame,
     declared: Column | None = None,
@@ -152,7 +156,9 @@ def identify(
     """(doc_id, text_key, language, confidence, text_language, accepted) per row of ``docs``.
 
     The classes are the declared languages, or ``languages``, and ``und`` for text of
-    none. Evidence that is null says nothing. A null or empty text, and one without
+    none. Of a code such as en-US the main part counts; of more than ``MOST_LANGUAGES``
+    codes the commonest are classes, and rows that declare another are judged by their
+    other evidence. Evidence that is null says nothing. A null or empty text, and one without
     letters, is ``und``. A document is accepted if its language is not ``und`` and its
     probability is at least one half. Repeated rows are judged each; an empty table
     gives no rows; other columns of ``docs`` are left alone.
@@ -161,16 +167,18 @@ def identify(
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_key"),
-        (nothing if declared is None else F.lower(declared)).alias("declared"),
+        (nothing if declared is None else _main_part(declared)).alias("declared"),
         (nothing if host is None else host).alias("host"),
         (nothing if suffix is None else suffix).alias("suffix"),
         F.col(text).alias("text"),
     )
     if languages is None:
-        found = rows.select("declared").filter("declared != ''").distinct()
-        languages = sorted(row["declared"] for row in found.limit(MOST_LANGUAGES + 1).collect())
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError("too many declared languages: name the languages to tell apart")
+        found = rows.filter("declared != ''").groupBy("declared").count()
+        found = found.orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES)
+        languages = sorted(row["declared"] for row in found.collect())
+        # A declaration of no class is no evidence.
+        known = F.col("declared").isin(list(languages))
+        rows = rows.withColumn("declared", F.when(known, F.col("declared")))
     classes = [*languages, UNKNOWN]
     table = log_likelihoods(group_counts(rows, list(languages)))
     seen = materialize(text_evidence(rows, table), "text-evidence")
