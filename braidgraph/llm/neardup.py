@@ -253,6 +253,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .groupBy("rep")
         .agg(F.count(F.lit(1)).alias("alone"))
     )
+    # An id that stands for several sets keeps the bound that holds for each of them.
+    several = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    alone = alone.join(several.select("rep"), "rep", "left_anti")
     known = (
         members.join(alone, "rep", "left")
         .withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
