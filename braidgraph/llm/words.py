@@ -102,7 +102,9 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
             heads = np.cumsum(size) - size
             within = np.arange(int(size.sum())) - np.repeat(heads, size)
             at = within + np.repeat(starts[word:stop], size)
-            hashes[word:stop] = np.add.reduceat(_BYTE[data[at]] * powers[within], heads)
+            # Each byte is mixed with its place, so that no sum of signs cancels.
+            mixed = mix(_BYTE[data[at]] ^ powers[within])
+            hashes[word:stop] = np.add.reduceat(mixed, heads)
             word = stop
         return mix(hashes + lengths.astype(np.uint64))
 
