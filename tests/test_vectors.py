@@ -41,11 +41,47 @@ def data(spark):
 @pytest.mark.parametrize("k,skip,threshold", [(5, 0, None), (4, 3, None), (50, 0, 0.6)])
 def test_top_k_equals_brute_force(data, batch, k, skip, threshold):
     items, queries, table, asked = data
-    found = vectors.top_k(asked, table, k, skip, threshold, batch_queries=batch)
+    found = vectors.top_k(asked, table, k, skip, threshold, block_queries=batch)
     result = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 6)) for r in found.collect()}
     assert result == brute_force(queries, items, k, skip, threshold)
 
 
+def test_every_vector_as_a_query_gets_its_own_best(data):
+    items, _, table, _ = data
+    usable = [(id_, vector) for id_, vector in items if vector and any(vector)]
+    asked = table.dropDuplicates(["id"]).select(table["id"].alias("query_id"), "vector")
+    found = vectors.top_k(asked, table, 3, block_queries=16)
+    queries = {r["query_id"]: r["vector"] for r in asked.collect() if r["vector"] and any(r["vector"])}
+    result = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 6)) for r in found.collect()}
+    assert result == brute_force(queries, usable, 3)
+
+
+def test_vectors_of_several_lengths_and_ties(spark):
+    items = [(n, [1.0, float(n % 3)]) for n in range(40)] + [(100 + n, [1.0, 2.0, float(n % 2)]) for n in range(9)]
+    queries = {1: [1.0, 1.0], 2: [1.0, 2.0, 1.0], 3: [0.0, 0.0]}
+    table = spark.createDataFrame(items, "id long, vector array<double>").repartition(7)
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, vector array<double>")
+    result = {
+        (r["query_id"], r["rank"]): (r["id"], round(r["score"], 6))
+        for r in vectors.top_k(asked, table, 5).collect()
+    }
+    del queries[3]
+    assert result == brute_force(queries, items, 5)
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan parquet")
+
+
+def test_vectors_are_scanned_once_however_many_queries(spark, data, tmp_path):
+    _, _, table, _ = data
+    table.write.parquet(f"{tmp_path}/vectors")
+    stored = spark.read.parquet(f"{tmp_path}/vectors")
+    asked = spark.createDataFrame([(n, [float(n), 1.0] * 4) for n in range(64)], "query_id long, vector array<double>")
+    assert scans(vectors.top_k(asked, stored, 3, block_queries=2)) == 1
+
+
 def test_no_usable_queries(spark, data):
     empty = spark.createDataFrame([], "query_id long, vector array<double>")
     assert vectors.top_k(empty, data[2], 3).count() == 0
