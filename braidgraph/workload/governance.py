@@ -185,8 +185,7 @@ def subspace_links(spark, sf_dir):
 
 PROPOSALS = f"""
 SELECT {PROPOSAL.format(id='proposal_id')} AS entity, proposal_id AS onchain_proposal_id,
-       CASE WHEN proposal_id IN (SELECT proposal_id FROM fx_events
-            WHERE kind = 'executed_proposals') THEN 'Executed' ELSE 'Proposed' END AS status,
+       CASE WHEN done IS NULL THEN 'Proposed' ELSE 'Executed' END AS status,
        lower(plugin_address) AS plugin_address, start_time, end_time, content_uri,
        CASE kind WHEN 'proposed_added_members' THEN 'add_member_proposal'
             WHEN 'proposed_removed_members' THEN 'remove_member_proposal'
@@ -198,17 +197,19 @@ SELECT {PROPOSAL.format(id='proposal_id')} AS entity, proposal_id AS onchain_pro
        {_space('dao_address')} AS space_id, {_account('creator')} AS creator,
        {_account('coalesce(member, editor)')} AS proposed_account,
        {_space('subspace')} AS proposed_subspace
-FROM fx_events WHERE kind LIKE 'proposed%'"""
+FROM fx_events LEFT JOIN executed_ids ON done = proposal_id WHERE kind LIKE 'proposed%'"""
+EXECUTED = "SELECT DISTINCT proposal_id AS done FROM fx_events WHERE kind = 'executed_proposals'"
+VOTED = "SELECT DISTINCT onchain_proposal_id AS voted FROM fx_events WHERE kind = 'votes_cast'"
 
 
-@query("SELECT * FROM proposal_rows", proposal_rows=PROPOSALS)
+@query("SELECT * FROM proposal_rows", proposal_rows=PROPOSALS, executed_ids=EXECUTED)
 def proposals(spark, sf_dir):
     return governance.proposals(governance_graph(spark, sf_dir))
 
 
 @query(
     "SELECT space_id, kind, status, count(*) AS proposals FROM proposal_rows GROUP BY 1, 2, 3",
-    proposal_rows=PROPOSALS,
+    proposal_rows=PROPOSALS, executed_ids=EXECUTED,
 )
 def proposal_status(spark, sf_dir):
     rows = governance.proposals(governance_graph(spark, sf_dir))
@@ -217,9 +218,8 @@ def proposal_status(spark, sf_dir):
 
 # Proposals by on-chain id and plugin: those that got votes.
 @query(
-    "SELECT entity, status FROM proposal_rows WHERE onchain_proposal_id IN ("
-    "SELECT onchain_proposal_id FROM fx_events WHERE kind = 'votes_cast')",
-    proposal_rows=PROPOSALS,
+    "SELECT entity, status FROM proposal_rows JOIN voted_ids ON voted = onchain_proposal_id",
+    proposal_rows=PROPOSALS, executed_ids=EXECUTED, voted_ids=VOTED,
 )
 def proposal_lookup(spark, sf_dir):
     voted = fixtures.block_events(spark, sf_dir).filter("kind = 'votes_cast'").select(

@@ -96,10 +96,12 @@ def typed_find(spark, sf_dir):
 
 # Order lines as typed relations.
 @query(
-    "SELECT r.id, from_id, to_id, CAST(q.value AS DOUBLE) AS quantity, s.value AS shipped "
-    "FROM fx_relations r JOIN line_triples q ON q.entity = r.id AND q.attribute = 'quantity' "
-    "JOIN line_triples s ON s.entity = r.id AND s.attribute = 'shipped' "
-    "WHERE relation_type = 'contains'",
+    "SELECT r.id, from_id, to_id, quantity, shipped FROM contained_lines r JOIN line_values ON entity = r.id "
+    "WHERE quantity IS NOT NULL AND shipped IS NOT NULL",
+    line_values="SELECT entity, max(CASE attribute WHEN 'quantity' THEN CAST(value AS DOUBLE) END) "
+    "AS quantity, max(CASE attribute WHEN 'shipped' THEN value END) AS shipped "
+    "FROM line_triples WHERE attribute IN ('quantity', 'shipped') GROUP BY entity",
+    contained_lines="SELECT id, from_id, to_id FROM fx_relations WHERE relation_type = 'contains'",
     line_triples=LINE_TRIPLES,
 )
 def typed_relations(spark, sf_dir):
