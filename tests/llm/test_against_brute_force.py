@@ -18,7 +18,6 @@ LOWER = {code: code + 32 for code in range(65, 91)}
 @pytest.fixture(scope="module")
 def ids(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = [text or "" for _, text in docs]
     coded = tokenizer.encode_batch(texts, add_special_tokens=False)
     return {doc_id: found.ids for (doc_id, _), found in zip(docs, coded)}
