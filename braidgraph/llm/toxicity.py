@@ -3,9 +3,11 @@
 Voters are lexicons of words and of word beginnings, learned from labelled rows, and
 patterns of spelling. Every document is voted on, and the counts of the vote patterns
 over all documents are what the label model sees: it estimates how often each voter
-fires in either class, and how the voters depend on each other inside a class, without
-looking at labels. Its posterior marks training rows, on which a linear classifier over
-single terms learns to generalise beyond the voters.
+fires in either class, and how the voters depend on each other inside a class. Labelled
+rows give only its first rates and class share, which weigh as much as 20 rows in each
+round. Its posterior marks training rows, on which a linear classifier over single terms
+learns to generalise beyond the voters. Terms are counted in whole texts by tasks; the
+driver gets those terms that pass one test, and their numbers for each training row.
 """
 
 from dataclasses import dataclass
@@ -15,24 +17,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidgraph.llm.labelled import fit_logistic, labelled_sample, sigmoid
+from braidgraph.llm.labelled import fit_sparse_logistic, labelled_sample, sigmoid, texts_of
 from braidgraph.llm.words import mix, text_bytes, text_slices, words
 from braidgraph.plans.lineage import materialize
 
-# The bounds of the training sample: rows of a class, and characters of each.
+# The bound of the training sample: rows of a class.
 TRAIN_ROWS = 6000
-TRAIN_CHARS = 20000
-# Bounds of the model: entries of a lexicon and terms of the classifier.
-LEXICON = 4000
-TERMS = 1500
+# Terms a task counts at once before it hands them on.
+HELD_TERMS = 1 << 20
 WORD_LEXICONS = 6
 PREFIXES = (3, 4, 5, 6)
 MOST_VOTERS = 16
-# A term enters a lexicon if its surprise exceeds this multiple of the log of the number
-# of terms looked at; at 1, less than one term is expected to enter by chance.
+# A term is known to the model if its surprise exceeds this multiple of the log of the
+# number of terms looked at; at 1, less than one term is expected to enter by chance.
 CERTAINTY = 0.5
-# And if toxic rows hold it so much more often, as a logarithm.
-LEAST_ODDS = 4.0
+# A known term also votes if toxic rows hold it so much more often, as a logarithm; a
+# voter of commoner terms would fire on most long texts. The classifier weighs all.
+VOTING_ODDS = 4.0
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -159,68 +160,86 @@ class ToxicityModel:
         return sigmoid(np.zeros(len(column)) + sums + self.constant)
 
 
-def _lexicon(texts: pa.Array, labels: np.ndarray) -> ToxicityModel:
-    """Terms that mark labelled toxic rows, dealt out to voters by rank.
+def _lexicon(docs: DataFrame, sample: DataFrame) -> ToxicityModel:
+    """All terms that mark labelled toxic rows, those that vote dealt out to voters by rank.
 
-    A term counts once a document. It is an entry if toxic rows hold it far more often
-    than others do; words go round the word lexicons, beginnings to that of their size.
+    A term counts once a document. It is known if toxic rows hold it more often than
+    chance allows; words go round the word lexicons, beginnings to that of their size.
     """
-    distinct, kind_of, toxic, clean = _document_counts(texts, labels)
-    share = (labels == 1).mean() if len(labels) else 0.5
-    surprise = _surprise(toxic, clean, share)
-    n_toxic, n_clean = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
+    sizes = {row["label"]: row["n"] for row in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    counted = materialize(_document_counts(texts_of(docs, sample)), "term-counts")
+    share = min(max(n_toxic / (n_toxic + n_clean), 1e-3), 1 - 1e-3) if sizes.get(1) else 0.5
+    least = np.log(max(1, counted.count())) * CERTAINTY
+    sure = counted.filter(_surprise(F.col("toxic"), F.col("clean"), share) > float(least))
+    found = sure.orderBy("term").toArrow()
+    hashes, kinds, toxic, clean = (np.asarray(found[name]) for name in ("term", "kind", "toxic", "clean"))
     odds = np.log((toxic + 0.3) / n_toxic) - np.log((clean + 0.3) / n_clean)
-    sure = surprise > np.log(max(1, len(distinct))) * CERTAINTY
-    chosen = np.flatnonzero(sure & (odds > LEAST_ODDS))
-    chosen = chosen[np.argsort(-surprise[chosen], kind="stable")][:LEXICON]
-    kinds = kind_of[chosen]
-    voter = np.where(kinds == 0, np.cumsum(kinds == 0) % WORD_LEXICONS, WORD_LEXICONS + kinds - 1)
-    order = np.argsort(distinct[chosen])
+    rank = np.lexsort((hashes, -toxic * odds))
+    of_words = rank[(kinds[rank] == 0) & (odds[rank] > VOTING_ODDS)]
+    voter = np.where(odds > VOTING_ODDS, WORD_LEXICONS + kinds - 1, -1).astype(np.int64)
+    voter[of_words] = np.arange(len(of_words)) % WORD_LEXICONS
+    hashes = hashes.astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
     return ToxicityModel(
-        distinct[chosen][order],
-        voter[order],
-        np.zeros(len(chosen)),
-        0.0,
-        WORD_LEXICONS + len(PREFIXES),
+        hashes[order], voter[order], np.zeros(len(order)), 0.0, WORD_LEXICONS + len(PREFIXES)
     )
 
 
-def _surprise(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+def _surprise(toxic: Column, clean: Column, share: float) -> Column:
     """Minus the log of the chance that a term unrelated to the label is so toxic."""
-    total = np.maximum(toxic + clean, 1)
-    part = np.clip(toxic / total, 1e-9, 1 - 1e-9)
-    share = float(np.clip(share, 1e-3, 1 - 1e-3))
-    apart = part * np.log(part / share) + (1 - part) * np.log((1 - part) / (1 - share))
-    return np.where(part > share, total * apart, 0.0)
+    total = toxic + clean
+    part = F.least(toxic / total, F.lit(1 - 1e-9))
+    apart = part * F.log(part / share) + (1 - part) * F.log((1 - part) / (1 - share))
+    return F.when(part > share, total * apart).otherwise(0.0)
 
 
-def _document_counts(
-    texts: pa.Array, labels: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted term hashes, their kinds, and how many toxic and clean rows hold each.
+def _merged(parts: list[tuple]) -> tuple:
+    """Sums of the counts of equal terms."""
+    hashes, kinds, *counts = (np.concatenate(values) for values in zip(*parts))
+    terms_of, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    return terms_of, kinds[first], *(np.bincount(place, c, len(terms_of)) for c in counts)
 
-    Texts are counted a slice at a time and the counts added, so that the terms of one
-    slice are the most that is held at once.
+
+def _document_counts(texts: DataFrame) -> DataFrame:
+    """(term, kind, toxic, clean): in how many rows of either class a term stands.
+
+    A task counts a slice of texts at a time and adds up slices until it holds
+    ``HELD_TERMS`` terms; Spark adds up what tasks hand on.
     """
-    held = [np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0), np.zeros(0)]
-    for start, end in text_slices(texts, 1 << 20):
-        part = texts.slice(start, end - start)
-        hashes, rows = terms(part)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        kinds = _kinds_of(part)[first]
-        pairs = np.unique(inverse * np.int64(end - start) + rows)
-        term, marks = pairs // (end - start), labels[start + pairs % (end - start)]
-        counts = [np.bincount(term[marks == c], minlength=len(distinct)) for c in (1, 0)]
-        both, first, place = np.unique(
-            np.concatenate([held[0], distinct]), return_index=True, return_inverse=True
-        )
-        kinds = np.concatenate([held[1], kinds])[first]
-        counts = [
-            np.bincount(place, np.concatenate([old, new]), len(both))
-            for old, new in zip(held[2:], counts)
-        ]
-        held = [both, kinds, *counts]
-    return tuple(held)
+
+    def count(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            texts = batch.column(0)
+            labels, weights = (np.asarray(batch.column(k)) for k in (1, 2))
+            for start, end in text_slices(texts, 1 << 20):
+                part = texts.slice(start, end - start)
+                hashes, rows = terms(part)
+                distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                pairs = np.unique(inverse * np.int64(end - start) + rows)
+                term, row = pairs // (end - start), start + pairs % (end - start)
+                counts = [np.bincount(term, weights[row] * (labels[row] == c), len(distinct)) for c in (1, 0)]
+                held.append((distinct, _kinds_of(part)[first], *counts))
+                if sum(len(one[0]) for one in held) > HELD_TERMS:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > HELD_TERMS // 2:
+                        yield _counts_batch(held.pop())
+        if held:
+            yield _counts_batch(_merged(held))
+
+    shape = "term long, kind int, toxic double, clean double"
+    counted = texts.select("text", "label", "weight").mapInArrow(count, shape)
+    return counted.groupBy("term").agg(
+        F.min("kind").alias("kind"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    )
+
+
+def _counts_batch(counts: tuple) -> pa.RecordBatch:
+    hashes, kinds, toxic, clean = counts
+    arrays = [hashes.view(np.int64), kinds.astype(np.int32), toxic, clean]
+    names = ["term", "kind", "toxic", "clean"]
+    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
 
 def _kinds_of(texts: pa.Array) -> np.ndarray:
@@ -258,30 +277,50 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str) -> To
 
     Without toxic rows there is no lexicon, and all documents get the same low score.
     """
-    sample = labelled_sample(docs, labels, label, allowed, TRAIN_ROWS, TRAIN_CHARS)
-    texts = pa.array([row[1] for row in sample], pa.large_string())
-    marks = np.array([row[2] for row in sample], np.int64)
-    model = _lexicon(texts, marks)
-    if not len(model.hashes) or len(set(marks.tolist())) < 2:
+    sample = labelled_sample(docs, labels, label, allowed, TRAIN_ROWS)
+    model = _lexicon(docs, sample)
+    known = _known_terms(docs, sample, model) if len(model.hashes) else []
+    marks = np.array([row["label"] for row in known], np.int64)
+    if len(set(marks.tolist())) < 2:
         model.constant = -4.0
         return model
     # At most 2 ** voters rows, of which voters that agree leave few.
     found = vote_patterns(docs, model).collect()
     voters = model.voters + 2
     assert voters <= MOST_VOTERS
-    patterns = np.array([[row["pattern"] >> j & 1 for j in range(voters)] for row in found], float)
+    bits = np.arange(voters)
+    patterns = np.array([row["pattern"] for row in found])[:, None] >> bits & 1
     counts = np.array([row["n"] for row in found], float)
-    own = _votes_of(model, texts)
+    own = np.array([row["pattern"] for row in known])[:, None] >> bits & 1
     start = np.stack([(own[marks == c].sum(axis=0) + 0.5) / ((marks == c).sum() + 1) for c in (0, 1)])
     share = _share(labels, allowed, label)
-    judged = LabelModel.fit(patterns, counts, start, share)
+    judged = LabelModel.fit(patterns.astype(float), counts, start, share)
     targets = judged.posterior(own.astype(float))
-    return _classifier(model, texts, targets, judged.prior)
+    return _classifier(model, [row["entries"] for row in known], targets)
+
 
+def _known_terms(docs: DataFrame, sample: DataFrame, model: ToxicityModel) -> list:
+    """(doc_id, label, pattern, entries) per row of the sample: its votes and its known terms."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-def _votes_of(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
-    parts = [model.votes(texts.slice(s, e - s)) for s, e in text_slices(texts)]
-    return np.concatenate(parts)
+    def look(batches):
+        for batch in batches:
+            texts = batch.column(2)
+            for start, end in text_slices(texts):
+                part = texts.slice(start, end - start)
+                rows, entries = shipped.value._found(part)
+                votes = shipped.value.votes(part)
+                bounds = np.searchsorted(rows, np.arange(end - start + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(entries.astype(np.int32)))
+                bits = pa.array(votes @ (1 << np.arange(votes.shape[1])), pa.int64())
+                held = [batch.column(k).slice(start, end - start) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*held, bits, lists], names=["doc_id", "label", "pattern", "entries"]
+                )
+
+    chosen = texts_of(docs, sample).select(F.col("doc_id").cast("long"), "label", "text")
+    found = chosen.mapInArrow(look, "doc_id long, label int, pattern long, entries array<int>")
+    return sorted(found.distinct().collect(), key=lambda row: row["doc_id"])
 
 
 def _share(labels: DataFrame, allowed: Column, label: str) -> float:
@@ -289,37 +328,29 @@ def _share(labels: DataFrame, allowed: Column, label: str) -> float:
     return float(np.clip(row["p"] if row["p"] is not None else 0.1, 0.001, 0.9))
 
 
-def _classifier(
-    model: ToxicityModel, texts: pa.Array, targets: np.ndarray, prior: float
-) -> ToxicityModel:
-    """Logistic regression on the presence of single terms; rows weigh as in the corpus."""
-    found = [
-        (start, *model._found(texts.slice(start, end - start)))
-        for start, end in text_slices(texts)
-    ]
-    rows = np.concatenate([start + at for start, at, _ in found])
-    entries = np.concatenate([entry for _, _, entry in found])
-    held = np.bincount(entries, minlength=len(model.hashes))
-    kept = np.sort(np.argsort(-held, kind="stable")[:TERMS])
-    column = np.full(len(model.hashes), -1)
-    column[kept] = np.arange(len(kept))
-    hits = np.bincount(rows, minlength=len(texts))
-    x = np.zeros((len(texts), len(kept) + 2), np.float32)
-    used = column[entries] >= 0
-    x[rows[used], column[entries[used]]] = 1
-    x[:, -2], x[:, -1] = np.log1p(hits), hits > 0
-    fitted = fit_logistic(x, targets, ridge=2e-4, rounds=25)
-    weight = np.zeros(len(model.hashes))
-    weight[kept] = fitted[: len(kept)]
+def _classifier(model: ToxicityModel, known: list[list[int]], targets: np.ndarray) -> ToxicityModel:
+    """Logistic regression on the presence of single terms, how many of them vote, and
+    whether one does."""
+    size = len(model.hashes)
+    rows = np.repeat(np.arange(len(known)), [len(entries) for entries in known])
+    entries = np.concatenate([np.asarray(entries, np.int64) for entries in known])
+    hits = np.bincount(rows[model.voter[entries] >= 0], minlength=len(known))
+    some = np.flatnonzero(hits)
+    fitted = fit_sparse_logistic(
+        np.concatenate([rows, some, some]),
+        np.concatenate([entries, np.full(len(some), size), np.full(len(some), size + 1)]),
+        np.concatenate([np.ones(len(rows)), np.log1p(hits[some]), np.ones(len(some))]),
+        targets, size + 2, ridge=2e-4,
+    )
     return SumModel(
-        model.hashes, model.voter, weight, float(fitted[-1]), model.voters,
-        float(fitted[-3]), float(fitted[-2]), 
+        model.hashes, model.voter, fitted[:size], float(fitted[-1]), model.voters,
+        float(fitted[-3]), float(fitted[-2]),
     )
 
 
 @dataclass
 class SumModel(ToxicityModel):
-    """Adds the number of known terms of a row, and that there is one, to the classifier."""
+    """Adds the number of voting terms of a row, and that there is one, to the classifier."""
 
     number: float = 0.0
     some: float = 0.0
@@ -327,7 +358,7 @@ class SumModel(ToxicityModel):
     def score(self, column: pa.Array) -> np.ndarray:
         rows, entries = self._found(column)
         sums = np.bincount(rows, self.weight[entries], len(column)) if len(rows) else 0
-        hits = np.bincount(rows, minlength=len(column))
+        hits = np.bincount(rows[self.voter[entries] >= 0], minlength=len(column))
         extra = self.number * np.log1p(hits) + self.some * (hits > 0)
         return sigmoid(sums + extra + self.constant)
 

@@ -228,12 +228,12 @@ def auc(scores, marks):
 
 @pytest.mark.parametrize(
     "name, label, parts, remainder, threshold, least",
-    [("op9_compression", "quality", 3, 1, 0.5, 0.9), ("op10_toxicity", "toxic", 4, 2, 0.3, 0.6)],
+    [("op9_compression", "quality", 3, 1, 0.5, 0.95), ("op10_toxicity", "toxic", 4, 2, 0.3, 0.95)],
 )
 def test_classifiers(spark, name, label, parts, remainder, threshold, least):
     from braidgraph.llm import queries
 
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     rows = queries.QUERIES[name](spark, folder).collect()
     marks = dict(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", label).collect())
     for r in rows:

@@ -1,9 +1,11 @@
 """Rows that once gave a wrong result or stopped a query."""
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from braidgraph.llm import kdtree, language, neardup, substring
+from braidgraph.llm import compression, kdtree, labelled, language, neardup, substring, toxicity
 from braidgraph.llm.words import words
 
 
@@ -50,3 +52,43 @@ def test_huge_components_have_a_defined_score(spark):
     found = kdtree.top_k(table.filter("vec_id = 0"), table, k=5).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in found][:2] == [(1, kdtree.MOST_SCORE), (3, kdtree.MOST_SCORE)]
     assert found[-1]["vec_id"] == 2 and found[-1]["score"] == kdtree.LEAST_SCORE
+
+
+@pytest.mark.parametrize("operator", [compression, toxicity])
+def test_evidence_late_in_long_texts_is_learned(spark, operator):
+    draw = np.random.default_rng(5)
+    filler = [" ".join(f"w{k}" for k in draw.integers(0, 400, 6000)) for _ in range(60)]
+    marked = [" ".join(f"zork{k} grumble{k % 7}" for k in draw.integers(0, 90, 400)) for _ in range(30)]
+    # Every text is far longer than 20,000 characters; the classes differ at the end alone.
+    rows = [(i, text + " " + marked[i] if i < 30 else text) for i, text in enumerate(filler)]
+    rows += [(0, rows[0][1])] * 20 + [(59, "another text of the id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, mark int")
+    model = operator.train(docs, labels, F.lit(True), "mark")
+    fresh = " ".join(f"w{k}" for k in draw.integers(0, 400, 6000))
+    asked = [(1, fresh + " " + " ".join(marked[10].split()[::-1])), (2, fresh), (3, None)]
+    found = operator.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
+    scores = {row["doc_id"]: row["score"] for row in found}
+    assert scores[1] > 0.5 > scores[2]
+    assert 0 <= scores[3] <= 1
+
+
+def test_sample_takes_one_text_of_an_id(spark):
+    rows = [(1, "a")] * 4 + [(1, "b"), (2, "c"), (3, None), (None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, mark int")
+    sample = labelled.labelled_sample(docs, labels, "mark", F.lit(True), 10)
+    assert sorted((r["doc_id"], r["label"]) for r in sample.collect()) == [(1, 1), (2, 0)]
+    found = labelled.texts_of(docs, sample).groupBy("doc_id").agg(
+        F.sum("weight").alias("w"), F.count_distinct("text").alias("n")
+    )
+    assert {r["doc_id"]: (r["w"], r["n"]) for r in found.collect()} == {1: (1.0, 1), 2: (1.0, 1)}
+
+
+def test_sparse_and_dense_fits_agree():
+    draw = np.random.default_rng(3)
+    x = (draw.random((300, 12)) < 0.3).astype(float)
+    y = (draw.random(300) < 1 / (1 + np.exp(-x @ np.linspace(-2, 2, 12)))).astype(float)
+    rows, columns = np.nonzero(x)
+    sparse = labelled.fit_sparse_logistic(rows, columns, np.ones(len(rows)), y, 12, 1e-3)
+    assert np.allclose(sparse, labelled.fit_logistic(x, y, ridge=1e-3), atol=1e-4)
