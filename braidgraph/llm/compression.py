@@ -95,13 +95,13 @@ def _dictionaries(docs: DataFrame, sample: DataFrame) -> dict[int, bytes]:
             label, place, text = (batch.column(name).to_pylist() for name in ("label", "place", "text"))
             pieces = [_pieces(t, shares[value]) for value, t in zip(label, text)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label, pa.int32()), pa.array(place, pa.int32()), pa.array(pieces, pa.binary())],
+                [pa.array(label, pa.int32()), pa.array(place, pa.int64()), pa.array(pieces, pa.binary())],
                 names=["label", "place", "piece"],
             )
 
     # At most DICTIONARY_ROWS pieces of a class once repeated rows are one.
     found = texts_of(docs, sample).select("label", "place", "text")
-    found = found.mapInArrow(cut, "label int, place int, piece binary")
+    found = found.mapInArrow(cut, "label int, place long, piece binary")
     found = found.groupBy("label", "place").agg(F.min("piece").alias("piece")).collect()
     parts = sorted((row["label"], row["place"], bytes(row["piece"])) for row in found)
     return {value: b"\n".join(part for own, _, part in parts if own == value) for value in (0, 1)}

@@ -1,7 +1,7 @@
 """Bounded samples of labelled documents and small linear models on the driver."""
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidgraph.plans.lineage import materialize
@@ -26,7 +26,7 @@ def labelled_sample(
 
     Only ids and numbers, so at most twice ``rows`` small rows; ``texts_of`` joins them
     with the whole texts in tasks. The documents with the smallest hash of their id are
-    taken, and ``place`` counts them in that order, so the sample is the same whatever
+    taken, and ``place`` is that hash, so the sample is the same whatever
     the partitioning. Conflicting labels of one id count as the greater one. Of an id
     with several texts the one with the smallest hash, ``key``, is taken; rows that
     repeat it share a weight of one.
@@ -41,10 +41,7 @@ def labelled_sample(
     for value in (0, 1):
         part = marked.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id")
         chosen = part.limit(rows) if chosen is None else chosen.union(part.limit(rows))
-    chosen = materialize(chosen, "chosen")
-    # At most ``rows`` of a class, all of one window.
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = chosen.withColumn("place", F.row_number().over(order))
+    chosen = materialize(chosen.withColumn("place", F.xxhash64("doc_id")), "chosen")
     texts = docs.select("doc_id", "text").filter("text is not null")
     found = texts.join(F.broadcast(chosen), "doc_id")
     keys = found.groupBy("doc_id", "label", "place", F.xxhash64("text").alias("key"))

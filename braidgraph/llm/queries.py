@@ -21,10 +21,10 @@ from braidgraph.llm import (
     toxicity,
 )
 from braidgraph.llm.labelled import held_out
+from braidgraph.llm.oracles import ORACLES  # noqa: F401
 from braidgraph.plans.lineage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _register(function: Callable[[SparkSession, str], DataFrame]):
