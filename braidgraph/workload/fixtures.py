@@ -246,6 +246,20 @@ def _parents(d: Dialect) -> str:
     UNION ALL SELECT DISTINCT 'root', 'root', 0 FROM region"""
 
 
+def _space_changes(d: Dialect) -> str:
+    """Customers as spaces: each order moves its customer below another, or takes it out."""
+    orders = f"""(
+      SELECT o_custkey, o_orderkey, o_orderstatus, {d.version('o_orderkey', '0')} AS version,
+             {d.div('(o_custkey + o_orderkey % 4)', 8)} AS up FROM orders)"""
+    return f"""
+    SELECT 'space:' || {d.text('o_custkey')} AS child, 'space:' || {d.text('up')} AS parent,
+           version, TRUE AS added FROM {orders} joined WHERE o_orderstatus <> 'F'
+    UNION ALL
+    SELECT 'space:' || {d.text('o_custkey')}, 'space:' || {d.text('was')}, version, FALSE
+    FROM (SELECT *, lag(up) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS was
+          FROM {orders} moved) gone WHERE was IS NOT NULL"""
+
+
 def _schema_triples(d: Dialect) -> str:
     """Part types as schema types, brands as their properties, sizes as value types."""
     return f"""
@@ -422,6 +436,7 @@ def views(d: Dialect) -> dict[str, str]:
         "fx_titles": _titles(d),
         "fx_title_keys": _title_keys(d),
         "fx_parents": _parents(d),
+        "fx_space_changes": _space_changes(d),
         "fx_schema_triples": _schema_triples(d),
         "fx_schema_relations": _schema_relations(d),
         "fx_vectors": _vectors(d),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from braidgraph.functions.ids import space_id
 from braidgraph.functions.predicates import Where, snapshot
 from braidgraph.graph import Graph
-from braidgraph.operators import governance, history, writes
+from braidgraph.operators import governance, hierarchy_versions, history, writes
 from braidgraph.operators.writes import Block
 from braidgraph.plans.lineage import materialize
 from braidgraph.sources import edits, seed
@@ -183,6 +183,27 @@ def subspace_links(spark, sf_dir):
     ).select(F.col("from_id").alias("child"), F.col("to_id").alias("parent"))
 
 
+# The blocks before and after spaces are taken out: 0 is the last but one, 1 the last.
+@query(f"""
+SELECT 0 AS last, {_space('subspace')} AS root, {_space('dao_address')} AS space_id, 1 AS depth
+FROM fx_events WHERE kind = 'subspaces_added'
+UNION ALL
+SELECT 1, {_space('subspace')}, {_space('dao_address')}, 1 FROM fx_events
+WHERE kind = 'subspaces_added' AND subspace NOT IN (
+  SELECT subspace FROM fx_events WHERE kind = 'subspaces_removed')
+""")
+def subspace_links_as_of(spark, sf_dir):
+    ops = governance.event_ops(fixtures.block_events(spark, sf_dir), vocabulary=VOC)
+    changes = materialize(hierarchy_versions.edge_changes(ops, VOC), "edge-changes")
+    closure = hierarchy_versions.closure_versions(hierarchy_versions.edge_versions(changes))
+    marks = [row["version"] for row in changes.select("version").distinct().orderBy(F.desc("version")).take(2)]
+    found = None
+    for last, mark in ((1, marks[0]), (0, marks[1])):
+        rows = hierarchy_versions.spaces_at(closure, mark).select(F.lit(last).alias("last"), "*")
+        found = rows if found is None else found.unionByName(rows)
+    return found.filter("depth > 0")
+
+
 PROPOSALS = f"""
 SELECT {PROPOSAL.format(id='proposal_id')} AS entity, proposal_id AS onchain_proposal_id,
        CASE WHEN done IS NULL THEN 'Proposed' ELSE 'Executed' END AS status,

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from braidgraph.graph import Graph
-from braidgraph.operators import hierarchy
+from braidgraph.operators import hierarchy, hierarchy_versions
+from braidgraph.operators.history import version_stamp
 from braidgraph.operators.writes import initial_relations
 from braidgraph.workload import fixtures
 from braidgraph.workload.registry import query
@@ -256,3 +257,45 @@ def entity_names_inherited(spark, sf_dir):
     return hierarchy.names_in(
         fixtures.graph(spark, sf_dir), pairs, _parents(spark, sf_dir)
     )
+
+
+# The hierarchy as of four versions, each walked anew from the edges that hold there.
+AS_OF_MARKS = """
+SELECT printf('%016d:%08d', CAST(m * k // 4 AS BIGINT), 0) AS at_version
+FROM (SELECT max(o_orderkey) AS m FROM orders) x, (SELECT unnest([1, 2, 3, 4]) AS k) y"""
+AS_OF_EDGES = """
+SELECT at_version, child, parent FROM (
+  SELECT at_version, child, parent, added,
+         row_number() OVER (PARTITION BY at_version, child, parent ORDER BY version DESC, added DESC) AS rn
+  FROM as_of_marks JOIN fx_space_changes ON version <= at_version) x
+WHERE rn = 1 AND added"""
+
+
+@query(
+    """
+SELECT version, root, space_id, min(depth) AS depth FROM (
+  WITH RECURSIVE up AS (
+    SELECT at_version AS version, child AS root, child AS space_id, 0 AS depth FROM as_of_edges
+    UNION SELECT at_version, parent, parent, 0 FROM as_of_edges
+    UNION SELECT up.version, up.root, e.parent, up.depth + 1
+    FROM up JOIN as_of_edges e ON e.at_version = up.version AND e.child = up.space_id AND e.child <> e.parent)
+  SELECT * FROM up) reached
+GROUP BY version, root, space_id""",
+    as_of_marks=AS_OF_MARKS, as_of_edges=AS_OF_EDGES,
+)
+def space_parents_as_of(spark, sf_dir):
+    """Built from the first half of the changes, extended by the second, read at quarters."""
+    changes = fixtures.view(spark, sf_dir, "fx_space_changes")
+    last = fixtures.table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("m"))
+    quarters = last.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), "m").select(
+        F.floor(F.col("m") * F.col("k") / 4).alias("block_number"), F.lit(0).alias("edit_idx")
+    )
+    marks = [row["at"] for row in quarters.select(version_stamp().alias("at")).orderBy("at").collect()]
+    before = hierarchy_versions.edge_versions(changes.filter(F.col("version") < marks[1]))
+    closure = hierarchy_versions.closure_versions(before)
+    closure = hierarchy_versions.extend(closure, hierarchy_versions.edge_versions(changes), marks[1])
+    found = None
+    for mark in marks:
+        rows = hierarchy_versions.spaces_at(closure, mark).select(F.lit(mark).alias("version"), "*")
+        found = rows if found is None else found.unionByName(rows)
+    return found
