@@ -191,16 +191,47 @@ def inherited_triples(
     directed = keys.join(
         aggregation_directions(graph, keys, parents), ["space_id", "attribute"]
     )
+    values = graph.triples.filter(snapshot(version)).select(
+        "entity", "attribute", F.col("space_id").alias("found_space"), "value", "value_type"
+    )
+    return _nearest(_met(materialize(directed, "directed-keys"), values, parents), KEY)
+
+
+def _met(directed: DataFrame, rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """Every row that a key sees, with the number of steps between the two.
+
+    ``directed`` has keys with their direction, ``rows`` (entity, attribute, found_space,
+    ...). A key that inherits down is listed at all spaces above it, as those are few; for
+    one that inherits up the rows are listed at the spaces above their own. Both lists
+    name the space where key and row meet, so one join answers all directions. The space
+    itself is seen in every direction.
+    """
     direction = F.col("direction")
-    down = directed.filter(direction.isin("Down", "Bidirectional"))
-    up = directed.filter(direction.isin("Up", "Bidirectional"))
-    own = directed.filter(direction.isNull())
-    hits = (
-        nearest_down(graph, down, parents, version)
-        .unionByName(nearest_up(graph, up, parents, version))
-        .unionByName(nearest(graph, own, with_self(own), version))
+    above = covering(parents, directed).select(
+        F.col("root").alias("space_id"), F.col("space_id").alias("meet"), "depth"
+    )
+    down = (
+        directed.join(above, "space_id")
+        .filter((F.col("depth") == 0) | direction.isin("Down", "Bidirectional"))
+        .select(*KEY, "meet", F.lit(False).alias("lifted"), "depth")
+    )
+    upward = directed.filter(direction.isin("Up", "Bidirectional"))
+    up = upward.select(
+        *KEY, F.col("space_id").alias("meet"), F.lit(True).alias("lifted"), F.lit(0).alias("depth")
     )
-    return _nearest(hits, KEY)
+    own = rows.select(
+        "*", F.col("found_space").alias("meet"), F.lit(False).alias("lifted"), F.lit(0).alias("steps")
+    )
+    over = parents.filter("depth > 0").select(
+        F.col("root").alias("found_space"), F.col("space_id").alias("meet"),
+        F.lit(True).alias("lifted"), F.col("depth").alias("steps"),
+    )
+    asked = upward.select("entity", "attribute").distinct()
+    lifted = rows.join(asked, ["entity", "attribute"], "left_semi").join(over, "found_space")
+    met = down.unionByName(up).join(
+        own.unionByName(lifted), ["entity", "attribute", "meet", "lifted"]
+    )
+    return met.withColumn("depth", F.col("depth") + F.col("steps")).drop("meet", "lifted", "steps")
 
 
 def inherited_relations(
@@ -232,32 +263,10 @@ def inherited_relations(
         directed = keys.join(
             aggregation_directions(graph, keys, parents), ["space_id", "attribute"]
         )
+        directed = materialize(directed, "directed-keys")
     else:
         directed = keys.withColumn("direction", F.lit(direction))
-    parents = covering(parents, keys)
-    # The space itself is seen in every direction, so it is looked at here.
-    upward = parents.select(
-        F.col("root").alias("space_id"), F.col("space_id").alias("found_space"), "depth"
-    )
-    down = (
-        directed.join(upward, "space_id")
-        .filter((F.col("depth") == 0) | F.col("direction").isin("Down", "Bidirectional"))
-        .drop("depth", "direction")
-        .join(edges, ["entity", "attribute", "found_space"])
-    )
-    if direction == "Down":
-        return down
-    up_keys = directed.filter(F.col("direction").isin("Up", "Bidirectional")).select(*KEY)
-    asked = up_keys.select("entity", "attribute").distinct()
-    above = parents.filter("depth > 0").select(
-        F.col("root").alias("found_space"), F.col("space_id")
-    )
-    up = (
-        edges.join(asked, ["entity", "attribute"], "left_semi")
-        .join(above, "found_space")
-        .join(up_keys, KEY, "left_semi")
-    )
-    return down.unionByName(up)
+    return _met(directed, edges, parents).drop("depth")
 
 
 def _known_direction(graph: Graph, attribute: str) -> str | None:
