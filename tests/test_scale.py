@@ -4,7 +4,13 @@ from pathlib import Path
 
 import pytest
 
+from braidgraph.operators import history
 from braidgraph.workload import fixtures
+from helpers import log, relation_log, rows
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -18,3 +24,32 @@ def test_a_filter_on_the_trade_graph_leaves_only_the_tables_it_needs(spark):
     assert {Path(f).name for f in parents.inputFiles()} == {"region.parquet", "nation.parquet"}
     assert {Path(f).name for f in brands.inputFiles()} == {"part.parquet"}
     assert parents.count() == 30
+
+
+def entity(block, name):
+    return (block, 0, block, "s", "SET_TRIPLE", name, "name", name)
+
+
+def edge(block, pos, id_, from_, to):
+    return (block, 0, pos, "s", "CREATE_RELATION", id_, from_, to, "t", "0")
+
+
+def test_relations_are_not_dealt_out_by_their_ends(spark):
+    ops = log(spark, [entity(1, "a"), entity(1, "b"), entity(5, "late")]).unionByName(
+        relation_log(
+            spark,
+            [
+                edge(2, 1, "ab", "a", "b"), edge(3, 2, "early", "a", "late"),
+                edge(5, 3, "same", "late", "a"), edge(6, 4, "after", "late", "b"),
+                edge(6, 5, "absent", "a", "nowhere"), edge(6, 6, "none", None, "a"),
+                edge(6, 7, "neither", "nowhere", "late"),
+            ],
+        )
+    )
+    marked = history.relation_creations(ops)
+    assert "SortMergeJoin" not in plan(marked)
+    assert rows(marked.select("relation.id", "accepted")) == [
+        ("ab", True), ("absent", False), ("after", True), ("early", False), ("neither", False),
+        ("none", False), ("same", True),
+    ]
+    assert rows(history.derive_relations(ops).select("id")) == [("ab",), ("after",), ("same",)]
