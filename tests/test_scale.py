@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from braidgraph.operators import history
+from braidgraph.operators import history, vectors
 from braidgraph.workload import fixtures
 from helpers import log, relation_log, rows
 
@@ -53,3 +53,13 @@ def test_relations_are_not_dealt_out_by_their_ends(spark):
         ("none", False), ("same", True),
     ]
     assert rows(history.derive_relations(ops).select("id")) == [("ab",), ("after",), ("same",)]
+
+
+def test_queries_of_a_search_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame(
+        [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(50)], "id long, vector array<double>"
+    ).write.parquet(f"{tmp_path}/vectors")
+    held = spark.read.parquet(f"{tmp_path}/vectors")
+    found = vectors.top_k(held.withColumnRenamed("id", "query_id"), held, 3)
+    assert "Broadcast" not in plan(found)
+    assert found.count() == 150
