@@ -4,8 +4,9 @@ from pathlib import Path
 
 import pytest
 
-from braidgraph.operators import history, vectors
+from braidgraph.operators import history, paths, vectors
 from braidgraph.workload import fixtures
+from helpers import graph as small_graph
 from helpers import log, relation_log, rows
 
 
@@ -63,3 +64,22 @@ def test_queries_of_a_search_are_not_broadcast(spark, tmp_path):
     found = vectors.top_k(held.withColumnRenamed("id", "query_id"), held, 3)
     assert "Broadcast" not in plan(found)
     assert found.count() == 150
+
+
+def test_counts_of_paths_follow_no_steps_per_pair(spark, monkeypatch):
+    written = []
+    write = paths.materialize
+    monkeypatch.setattr(
+        paths, "materialize", lambda df, name: written.append(name) or write(df, name)
+    )
+    edges = ["ab", "ac", "bd", "cd", "ce", "de", "ef"]
+    found = paths.shortest_counts(
+        small_graph(spark, relations=[(e, e[0], e[1], "t", "0", "s") for e in edges]),
+        spark.createDataFrame(
+            [("a", "d"), ("a", "f"), ("b", "f"), ("a", "b"), ("a", "x")], "source string, target string"
+        ),
+    )
+    assert rows(found.select("source", "target", "hops", "paths")) == [
+        ("a", "b", 1, 1), ("a", "d", 2, 2), ("a", "f", 3, 1), ("b", "f", 3, 1),
+    ]
+    assert "path-graph" not in written
