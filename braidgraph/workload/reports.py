@@ -7,7 +7,15 @@ from braidgraph.operators import governance, hierarchy, reports
 from braidgraph.operators.entities import EntityFilter, OrderBy
 from braidgraph.operators.relations import RelationFilter
 from braidgraph.workload import fixtures
-from braidgraph.workload.governance import ACCOUNTS, SPACES, _held, _space, governance_graph
+from braidgraph.workload.governance import (
+    ACCOUNT_VIEW,
+    ACCOUNTS,
+    SPACE_REPORT,
+    SPACES,
+    _held,
+    _space,
+    governance_graph,
+)
 from braidgraph.workload.registry import query
 
 NAMED = "SELECT entity AS id, value AS name FROM fx_triples WHERE attribute = 'name'"
@@ -138,7 +146,7 @@ def relations_full_page(spark, sf_dir):
        "OFFSET 20", account_rows=ACCOUNTS)
 def accounts_page(spark, sf_dir):
     rows = governance.accounts(
-        governance_graph(spark, sf_dir), {"address": Where(gt="0x5e")}
+        governance_graph(spark, sf_dir, ACCOUNT_VIEW), {"address": Where(gt="0x5e")}
     )
     return reports.page(rows, "entity", first=100, skip=20)
 
@@ -163,7 +171,7 @@ WHERE kind = 'subspaces_added' AND subspace NOT IN (
     editor_rows=_held("editors_added", "editors_removed", "editor_address"),
 )
 def space_report(spark, sf_dir):
-    graph = governance_graph(spark, sf_dir)
+    graph = governance_graph(spark, sf_dir, SPACE_REPORT)
     rows = reports.space_report(
         graph, hierarchy.parent_spaces(graph), hierarchy.subspaces(graph)
     )

@@ -3,9 +3,13 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from braidgraph.operators import history, paths, vectors
+from braidgraph import schema
+from braidgraph.operators import governance, history, paths, vectors
+from braidgraph.vocabulary import DEFAULT
 from braidgraph.workload import fixtures
+from braidgraph.workload import governance as workload
 from helpers import graph as small_graph
 from helpers import log, relation_log, rows
 
@@ -83,3 +87,43 @@ def test_counts_of_paths_follow_no_steps_per_pair(spark, monkeypatch):
         ("a", "b", 1, 1), ("a", "d", 2, 2), ("a", "f", 3, 1), ("b", "f", 3, 1),
     ]
     assert "path-graph" not in written
+
+
+def test_a_part_of_the_governance_log_has_the_rows_of_the_whole(spark):
+    payload = "struct<" + ", ".join(
+        f"{f.name}: {f.dataType.simpleString()}" for f in schema.PAYLOAD.fields
+    ) + ">"
+    events = [
+        (1, "spaces_created", {"dao_address": "0xD", "space_address": "0xS"}),
+        (2, "members_added", {"dao_address": "0xD", "member_address": "0xA"}),
+        (3, "members_removed", {"dao_address": "0xD", "member_address": "0xA"}),
+        (4, "proposed_edits", {"dao_address": "0xD", "plugin_address": "0xP", "proposal_id": "1",
+                               "creator": "0xA", "content_uri": "u"}),
+    ]
+    events = spark.createDataFrame(
+        [(block, kind, 0, given) for block, kind, given in events],
+        f"block_number long, kind string, pos int, payload {payload}",
+    ).withColumn("block_ts", F.timestamp_seconds("block_number"))
+    part = governance.Writes([DEFAULT.address], [DEFAULT.member, DEFAULT.types], [DEFAULT.account_type])
+    whole, found = governance.event_ops(events), governance.event_ops(events, writes=part)
+    type_id, kind = F.col("relation.to_entity"), F.col("relation.type")
+    asked = whole.filter(
+        (F.col("triple.attribute") == DEFAULT.address) | (kind == DEFAULT.member)
+        | ((kind == DEFAULT.types) & (type_id == DEFAULT.account_type))
+    )
+    assert found.count() == 4
+    assert found.exceptAll(asked).isEmpty() and asked.exceptAll(found).isEmpty()
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
+def test_views_of_spaces_read_no_proposals(spark, monkeypatch):
+    stored = []
+    write = history.materialize
+    monkeypatch.setattr(
+        history, "materialize", lambda df, name: stored.append(name) or write(df, name)
+    )
+    graph = workload.governance_graph(spark, SF_DIR, workload.SPACE_VIEW)
+    assert stored == ["late-ends"]
+    for rows_ in (graph.triples, graph.relations):
+        assert "orders.parquet" not in {Path(f).name for f in rows_.inputFiles()}
+    assert governance.spaces(graph).count() == 30
