@@ -18,6 +18,8 @@ from braidgraph.llm.words import LOWER, text_bytes, text_slices
 from braidgraph.plans.lineage import materialize
 
 BUCKETS = 1 << 14
+# Text weighed at once: temporary arrays take some fifty times as much.
+SLICE_BYTES = 1 << 20
 # A text counts as so many independent letters groups at most: neighbouring ones depend
 # on each other, and other evidence must still be heard on long texts.
 MOST_INDEPENDENT = 60.0
@@ -64,7 +66,7 @@ def group_counts(docs: DataFrame, languages: list[str]) -> np.ndarray:
         for batch in batches:
             declared = [known.get(value, -1) for value in batch.column(0).to_pylist()]
             declared = np.array(declared, np.int64)
-            for start, end in text_slices(batch.column(1)):
+            for start, end in text_slices(batch.column(1), SLICE_BYTES):
                 buckets, bounds = groups(batch.column(1).slice(start, end - start))
                 owner = np.repeat(declared[start:end], np.diff(bounds))
                 key = (owner * BUCKETS + buckets)[owner >= 0]
@@ -104,7 +106,7 @@ def text_evidence(docs: DataFrame, table: np.ndarray) -> DataFrame:
         held = shipped.value
         for batch in batches:
             parts = []
-            for start, end in text_slices(batch.column(5)):
+            for start, end in text_slices(batch.column(5), SLICE_BYTES):
                 buckets, bounds = groups(batch.column(5).slice(start, end - start))
                 sums = np.zeros((end - start, held.shape[1]))
                 sizes = np.diff(bounds)
