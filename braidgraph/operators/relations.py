@@ -9,6 +9,7 @@ from braidgraph.functions.predicates import Where, all_of, snapshot
 from braidgraph.graph import Graph
 from braidgraph.operators import entities
 from braidgraph.operators.entities import EntityFilter
+from braidgraph.plans.lineage import materialize
 
 SYSTEM_PROPERTIES = ["created_at", "created_at_block", "updated_at", "updated_at_block"]
 
@@ -80,7 +81,8 @@ def inbound(
 
 def _touching(graph, ids, column, space_id, version) -> DataFrame:
     in_space = [space_id.on("space_id")] if space_id is not None else []
-    keys = ids.select(F.col("id").alias(column)).distinct()
+    # Written first: then the join of the relations of a hub can be split.
+    keys = materialize(ids.select(F.col("id").alias(column)).distinct(), "touched")
     return graph.relations.filter(all_of([snapshot(version), *in_space])).join(
         keys, column, "left_semi"
     )

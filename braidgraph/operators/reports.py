@@ -8,6 +8,7 @@ from braidgraph.graph import Graph
 from braidgraph.operators import governance, hierarchy, relations, triples
 from braidgraph.operators.entities import OrderBy, EntityFilter, check_page, find
 from braidgraph.operators.relations import RelationFilter
+from braidgraph.plans.lineage import materialize
 
 
 def _names(graph: Graph) -> DataFrame:
@@ -22,9 +23,32 @@ def _names(graph: Graph) -> DataFrame:
 def named(
     graph: Graph, rows: DataFrame, column: str, output: str, missing: str | Column = "No name"
 ) -> DataFrame:
-    """Add the name of the id in ``column``."""
+    """Add the name of the id in ``column``.
+
+    The names are written first: then a join of rows that share an id can be split.
+    """
+    names = materialize(_names(graph), "names")
+    return _with_names(rows, names, column, output, missing)
+
+
+def kind_named(
+    graph: Graph, rows: DataFrame, column: str, output: str, missing: str | Column
+) -> DataFrame:
+    """Like :func:`named`, for a column of few ids: attributes or relation types.
+
+    Only the names of those that occur are kept, so that the rows need not be brought
+    together by their kind.
+    """
+    used = rows.select(F.col(column).alias("id")).distinct()
+    names = materialize(_names(graph).join(used, "id", "left_semi"), "kind-names")
+    return _with_names(rows, names, column, output, missing)
+
+
+def _with_names(
+    rows: DataFrame, names: DataFrame, column: str, output: str, missing: str | Column
+) -> DataFrame:
     fallback = missing if isinstance(missing, Column) else F.lit(missing)
-    names = _names(graph).select(F.col("id").alias(column), F.col("name").alias("_name"))
+    names = names.select(F.col("id").alias(column), F.col("name").alias("_name"))
     return (
         rows.join(names, column, "left")
         .withColumn(output, F.coalesce("_name", fallback))
@@ -119,7 +143,7 @@ def triples_with_names(
     found = triples.scan(
         graph.triples, attribute=attribute, space_id=space_id, version=version
     )
-    return named(graph, found, "attribute", "attribute_name", "No attribute name")
+    return kind_named(graph, found, "attribute", "attribute_name", "No attribute name")
 
 
 def _first_edges(
@@ -135,7 +159,7 @@ def _first_edges(
         F.col(near).alias("id"), F.col("id").alias("relation_id"), "relation_type",
         F.col(far).alias("other"), "index",
     )
-    edges = edges.join(ids.select("id").distinct(), "id", "left_semi")
+    edges = edges.join(ids, "id", "left_semi")
     if per_entity is None:
         return edges.drop("index")
     order = Window.partitionBy("id").orderBy("index", "relation_id")
@@ -157,10 +181,12 @@ def entity_profile(
     attribute or relation type; ``value`` the attribute value or the name at the other
     end, whose id is ``other``.
     """
+    # Written first: then the joins of the relations of a hub can be split.
+    ids = materialize(ids.select("id").distinct(), "profiled")
     attributes = triples.attributes_of(graph.triples, ids).select(
         F.col("entity").alias("id"), "attribute", "value"
     )
-    attributes = named(graph, attributes, "attribute", "label", "No attribute name").select(
+    attributes = kind_named(graph, attributes, "attribute", "label", "No attribute name").select(
         "id", F.lit("attribute").alias("section"), F.lit(None).cast("string").alias("relation_id"),
         "label", "value", F.lit(None).cast("string").alias("other"),
     )
@@ -171,7 +197,7 @@ def entity_profile(
         "section", F.lit("inbound")
     )
     edges = outbound.unionByName(inbound)
-    edges = named(graph, edges, "relation_type", "label", F.col("relation_type"))
+    edges = kind_named(graph, edges, "relation_type", "label", F.col("relation_type"))
     edges = named(graph, edges, "other", "value").select(
         "id", "section", "relation_id", "label", "value", "other"
     )

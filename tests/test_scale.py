@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidgraph import schema
-from braidgraph.operators import governance, history, paths, vectors
+from braidgraph.functions.predicates import is_
+from braidgraph.operators import governance, history, paths, relations, reports, vectors
 from braidgraph.vocabulary import DEFAULT
 from braidgraph.workload import fixtures
 from braidgraph.workload import governance as workload
@@ -127,3 +128,29 @@ def test_views_of_spaces_read_no_proposals(spark, monkeypatch):
     for rows_ in (graph.triples, graph.relations):
         assert "orders.parquet" not in {Path(f).name for f in rows_.inputFiles()}
     assert governance.spaces(graph).count() == 30
+
+
+def test_rows_are_not_brought_together_by_their_kind(spark, monkeypatch):
+    written = {}
+    for module in (reports, relations):
+        write = module.materialize
+        monkeypatch.setattr(
+            module, "materialize",
+            lambda df, name, write=write: written.setdefault(name, write(df, name)),
+        )
+    found = small_graph(
+        spark,
+        triples=[("age", "name", "s", "Age"), ("a", "name", "s", "A"), ("a", "age", "s", "7")],
+        relations=[("ah", "a", "h", "t", "0", "s"), ("bh", "b", "h", "t", "1", "s")],
+    )
+    named = reports.triples_with_names(found, attribute=is_("age"))
+    assert rows(named.select("entity", "value", "attribute_name")) == [("a", "7", "Age")]
+    assert rows(written["kind-names"]) == [("age", "Age")]
+    hub = spark.createDataFrame([("h",), ("h",)], "id string")
+    assert rows(relations.inbound(found, hub).select("id")) == [("ah",), ("bh",)]
+    assert rows(written["touched"]) == [("h",)]
+    profile = reports.entity_profile(found, hub)
+    assert rows(profile.select("id", "section", "label", "value", "other")) == [
+        ("h", "inbound", "t", "A", "a"), ("h", "inbound", "t", "No name", "b"),
+    ]
+    assert rows(written["profiled"]) == [("h",)]
