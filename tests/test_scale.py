@@ -1,5 +1,8 @@
 """Work that must not grow beyond what a query reads."""
 
+import contextlib
+import io
+import re
 from pathlib import Path
 
 import pytest
@@ -154,3 +157,24 @@ def test_rows_are_not_brought_together_by_their_kind(spark, monkeypatch):
         ("h", "inbound", "t", "A", "a"), ("h", "inbound", "t", "No name", "b"),
     ]
     assert rows(written["profiled"]) == [("h",)]
+
+
+def test_no_method_of_event_operations_is_too_long_to_be_compiled(spark):
+    kind, payload = "proposed_added_members", schema.PAYLOAD.simpleString()
+    events = spark.createDataFrame([(7, kind, "0xA", "0xB", "p1", "0xC", "0xD")],
+                                   "block long, kind string, a string, b string, i string, c string, m string")
+    given = {"dao_address": "a", "plugin_address": "b", "proposal_id": "i", "creator": "c", "member": "m"}
+    fields = [F.expr(given.get(f.name, "null")).cast(f.dataType).alias(f.name) for f in schema.PAYLOAD.fields]
+    events = events.select(
+        F.col("block").alias("block_number"), F.timestamp_seconds("block").alias("block_ts"), "kind",
+        F.lit(0).alias("pos"), F.struct(*fields).cast(payload).alias("payload"),
+    )
+    ops = governance.event_ops(events)
+    printed = io.StringIO()
+    with contextlib.redirect_stdout(printed):
+        ops.explain("codegen")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", printed.getvalue())]
+    # HotSpot leaves methods of more than 8,000 bytes to its interpreter.
+    assert sizes and max(sizes) <= 8000
+    assert ops.filter("op_type = 'CREATE_RELATION'").count() == 5
+    assert ops.filter("relation.type is not null").select("relation.id").distinct().count() == 5
