@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidgraph.llm.tokens import Encoder, encoded_rows, id_width, ids_crc32, vocabulary
+from braidgraph.llm.tokens import encoded_rows, id_width, ids_crc32, shared_encoder, vocabulary
 
 SEGMENT_TOKENS = 1 << 19
 SEGMENT_DOCUMENTS = 1 << 16
@@ -109,7 +109,7 @@ def _segments(
     rows: Iterable[tuple[int | None, bytes]], shard: int, width: int, end_id: int
 ) -> Iterator[tuple]:
     end = np.array([end_id], f"<u{width}").tobytes()
-    base = segment = 0
+    base = segment = total = 0
     keys: list[int | None] = []
     blobs: list[bytes] = []
     sizes: list[int] = []
@@ -127,13 +127,14 @@ def _segments(
 
     for key, blob in rows:
         size = len(blob) // width + 1
-        if keys and (sum(sizes) + size > SEGMENT_TOKENS or len(keys) >= SEGMENT_DOCUMENTS):
+        if keys and (total + size > SEGMENT_TOKENS or len(keys) >= SEGMENT_DOCUMENTS):
             yield closed()
-            base, segment = base + sum(sizes), segment + 1
+            base, segment, total = base + total, segment + 1, 0
             keys, blobs, sizes = [], [], []
         keys.append(key)
         blobs += (blob, end)
         sizes.append(size)
+        total += size
     if keys:
         yield closed()
 
@@ -167,7 +168,7 @@ def write_corpus(
     shipped = spark.sparkContext.broadcast(text)
 
     def encode(batches):
-        encoder = Encoder(shipped.value, width)
+        encoder = shared_encoder(shipped.value, width)
         shard = TaskContext.get().partitionId()
         schema = arrow_schema(SEGMENTS)
         for row in _segments(encoded_rows(batches, encoder), shard, width, end_id):

@@ -113,6 +113,21 @@ class Encoder:
         return b"".join(result)
 
 
+_ENCODERS: dict[tuple[int, int], tuple[str, Encoder]] = {}
+
+
+def shared_encoder(vocabulary_text: str, width: int = 2) -> Encoder:
+    """The encoder of this Python worker, which keeps its pieces for the worker's next tasks.
+
+    Only that of the last vocabulary is kept, so the pieces stay within ``CACHED_PIECES``.
+    """
+    key = (hash(vocabulary_text), width)
+    if key not in _ENCODERS or _ENCODERS[key][0] != vocabulary_text:
+        _ENCODERS.clear()
+        _ENCODERS[key] = vocabulary_text, Encoder(vocabulary_text, width)
+    return _ENCODERS[key][1]
+
+
 def encoded_rows(
     batches: Iterable[pa.RecordBatch], encoder: Encoder, text: str = "text", key: str = "doc_id"
 ) -> Iterator[tuple[int | None, bytes]]:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from braidgraph.llm import compression, kdtree, labelled, language, neardup, substring, toxicity
+from braidgraph.llm import compression, kdtree, labelled, language, neardup, substring, tokens, toxicity
 from braidgraph.llm.words import words
 
 
@@ -92,3 +92,15 @@ def test_sparse_and_dense_fits_agree():
     rows, columns = np.nonzero(x)
     sparse = labelled.fit_sparse_logistic(rows, columns, np.ones(len(rows)), y, 12, 1e-3)
     assert np.allclose(sparse, labelled.fit_logistic(x, y, ridge=1e-3), atol=1e-4)
+
+
+def test_pieces_stay_with_the_worker_for_its_next_task():
+    text = tokens.vocabulary()
+    first = tokens.shared_encoder(text)
+    ids = first.encode(["several words of a text"])
+    known = len(first._spaced)
+    # A task gets its vocabulary as a new string.
+    again = tokens.shared_encoder(text[:1] + text[1:])
+    assert again.encode(["several words of a text"]) == ids
+    assert again is first and len(again._spaced) == known > 0
+    assert tokens.Encoder(text).encode(["several words of a text"]) == ids
