@@ -20,6 +20,8 @@ from braidgraph.llm.words import mix, sequence_hashes, text_slices, words
 from braidgraph.plans.lineage import materialize
 
 BINS = 240
+# Bytes of texts whose words are held at once.
+SLICE_BYTES = 1 << 20
 # Members of a block, and columns of its incidence matrix at a time.
 BLOCK = 96
 COLUMNS = 1 << 14
@@ -63,7 +65,7 @@ def _bands(shingles: np.ndarray, rows: int) -> np.ndarray:
 
 def _sets(column: pa.Array, width: int):
     """Sorted distinct shingle hashes of each text of a column."""
-    for start, end in text_slices(column):
+    for start, end in text_slices(column, SLICE_BYTES):
         found = words(column.slice(start, end - start), lower=True)
         runs = sequence_hashes(found.hashes, width)
         for row in range(end - start):
@@ -116,7 +118,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def build(batches):
         for batch in batches:
-            for start, end in text_slices(batch.column(1)):
+            for start, end in text_slices(batch.column(1), SLICE_BYTES):
                 sets = list(_sets(batch.column(1).slice(start, end - start), width))
                 keys = [_set_key(shingles) for shingles in sets]
                 yield pa.RecordBatch.from_arrays(

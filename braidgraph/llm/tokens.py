@@ -59,7 +59,8 @@ class _Pieces(dict):
         super().__init__()
         self._encode, self._merge = tokenizer.encode, tokenizer.model.tokenize
         self._code, self._lead = {2: "H", 4: "I"}[kind.itemsize], lead
-        self.tails: dict[str, bytes] = self
+        # None: its own. A reference to itself would keep the pieces beyond their last use.
+        self.tails: dict[str, bytes] | None = None
 
     def __missing__(self, piece: str) -> bytes:
         head = piece.rstrip(_MARKS)
@@ -67,7 +68,8 @@ class _Pieces(dict):
             found = self._encode(self._lead + piece, add_special_tokens=False).ids
             ids = array(self._code, found).tobytes()
         elif head != piece:
-            ids = self[head] + self.tails[piece[len(head) :]]
+            tails = self if self.tails is None else self.tails
+            ids = self[head] + tails[piece[len(head) :]]
         else:
             written = (self._lead + piece).encode().decode("latin-1").translate(_BYTES)
             ids = array(self._code, [token.id for token in self._merge(written)]).tobytes()

@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Bytes hashed at once: temporary arrays take eight times as much.
+# Bytes of texts taken at once.
 BLOCK_BYTES = 4 << 20
+# Bytes hashed at once: temporary arrays take some sixty times as much.
+HASH_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -97,7 +99,7 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         powers = np.cumprod(np.full(int(lengths.max()), _BASE))
         word = 0
         while word < len(starts):
-            stop = max(word + 1, int(np.searchsorted(ends, starts[word] + BLOCK_BYTES, "right")))
+            stop = max(word + 1, int(np.searchsorted(ends, starts[word] + HASH_BYTES, "right")))
             size = lengths[word:stop]
             heads = np.cumsum(size) - size
             within = np.arange(int(size.sum())) - np.repeat(heads, size)

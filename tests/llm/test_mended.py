@@ -1,5 +1,9 @@
 """Rows that once gave a wrong result or stopped a query."""
 
+import gc
+import tracemalloc
+import weakref
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -104,3 +108,28 @@ def test_pieces_stay_with_the_worker_for_its_next_task():
     assert again.encode(["several words of a text"]) == ids
     assert again is first and len(again._spaced) == known > 0
     assert tokens.Encoder(text).encode(["several words of a text"]) == ids
+
+
+def test_pieces_end_with_the_last_use_of_their_encoder():
+    encoder = tokens.Encoder(tokens.vocabulary())
+    assert encoder.encode(["words, and (marks)! behind them..."])[0]
+    gc.disable()
+    try:
+        kept = weakref.ref(encoder._plain)
+        del encoder
+        assert kept() is None
+    finally:
+        gc.enable()
+
+
+def test_sets_of_long_columns_take_little_memory():
+    column = pa.array([" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(400)])
+    assert column.nbytes > 3 << 20
+    tracemalloc.start()
+    try:
+        sizes = {len(shingles) for shingles in neardup._sets(column, 5)}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == {1996}
+    assert peak < 100 << 20
