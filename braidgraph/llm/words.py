@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 # Bytes of texts taken at once.
 BLOCK_BYTES = 4 << 20
 # Bytes hashed at once: temporary arrays take some sixty times as much.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
