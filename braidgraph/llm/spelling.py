@@ -154,7 +154,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     index = _key_rows(words, ranks, False).select(
         "key", F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("last").alias("last_b")
     )
-    near = probes.join(index, "key").filter(F.abs(F.length("a") - F.length("b")) <= 1)
+    # A word has many keys, whatever the plan takes them for by its size: no broadcast.
+    near = probes.join(index.hint("shuffle_merge"), "key").filter(F.abs(F.length("a") - F.length("b")) <= 1)
     # Pairs with the same last bigram would be found from both words.
     same = (F.col("last_a") == F.col("last_b")) & (F.col("a") < F.col("b"))
     near = near.filter((F.col("last_a") < F.col("last_b")) | same)
@@ -175,7 +176,8 @@ def _roots(forms: DataFrame) -> DataFrame:
     reached = forms.select("word", F.col("form").alias("root"))
     for _ in range(ROUNDS):
         ahead = reached.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = materialize(reached.join(ahead, "root", "left").select("word", "root", "next"), "roots")
+        moved = reached.join(ahead.hint("shuffle_merge"), "root", "left")
+        moved = materialize(moved.select("word", "root", "next"), "roots")
         reached = moved.select("word", F.coalesce("next", "root").alias("root"))
         if moved.filter("next is not null").isEmpty():
             return reached
@@ -199,7 +201,8 @@ def variants(words: DataFrame) -> DataFrame:
     best = both.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best")
     )
-    found = words.join(best, "word", "left").select(
+    # Files of words are a tenth of their rows in memory: joins below do not broadcast either.
+    found = words.join(best.hint("shuffle_merge"), "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -210,7 +213,7 @@ def variants(words: DataFrame) -> DataFrame:
     )
     found = materialize(found, "forms")
     roots = _roots(found.filter("form is not null"))
-    found = found.join(roots, "word", "left")
+    found = found.join(roots.hint("shuffle_merge"), "word", "left")
     return found.select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from braidgraph.llm import compression, kdtree, labelled, language, neardup, substring, tokens, toxicity
+from braidgraph.llm import compression, kdtree, labelled, language, neardup, spelling, substring, tokens, toxicity
 from braidgraph.llm.words import words
 
 
@@ -133,3 +133,19 @@ def test_sets_of_long_columns_take_little_memory():
         tracemalloc.stop()
     assert sizes == {1996}
     assert peak < 100 << 20
+
+
+def test_keys_of_words_are_not_broadcast(spark):
+    # The plan takes the keys to be as small as the file of the words.
+    table = [("house", 9), ("houses", 3), ("mouse", 2), ("horse", 1)]
+    words_of = spark.createDataFrame(table, "word string, n long")
+    near = spelling.near_pairs(words_of)
+    found = spelling.variants(words_of)
+    for df in (near, found):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {frozenset((r["a"], r["b"])) for r in near.collect()} == {
+        frozenset(("house", other)) for other in ("houses", "mouse", "horse")
+    }
+    assert {(r["word"], r["form"], r["root"]) for r in found.collect()} == {
+        ("house", None, "house"), *((w, "house", "house") for w in ("houses", "mouse", "horse"))
+    }
