@@ -178,3 +178,15 @@ def test_no_method_of_event_operations_is_too_long_to_be_compiled(spark):
     assert sizes and max(sizes) <= 8000
     assert ops.filter("op_type = 'CREATE_RELATION'").count() == 5
     assert ops.filter("relation.type is not null").select("relation.id").distinct().count() == 5
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test data")
+def test_vectors_are_read_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "write_graph", None)
+    graph = fixtures.vector_graph(spark, SF_DIR)
+    assert {Path(f).name for f in graph.triples.inputFiles()} == {"embeddings.parquet"}
+    types = graph.relations.filter("relation_type = 'types'")
+    assert {Path(f).name for f in types.inputFiles()} == {"embeddings.parquet"}
+    asked = graph.triples.select(F.col("entity").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vectors.search_triples(graph, asked.limit(3), limit=1)
+    assert all(row["query_id"] == row["entity"] for row in found.collect())
