@@ -3,6 +3,7 @@
 import contextlib
 import io
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from braidgraph import schema
 from braidgraph.functions.predicates import is_
 from braidgraph.operators import governance, history, paths, relations, reports, vectors
+from braidgraph.plans import lineage
 from braidgraph.vocabulary import DEFAULT
 from braidgraph.workload import fixtures
 from braidgraph.workload import governance as workload
@@ -190,3 +192,19 @@ def test_vectors_are_read_where_they_lie(spark, monkeypatch):
     asked = graph.triples.select(F.col("entity").alias("query_id"), F.col("embedding").alias("vector"))
     found = vectors.search_triples(graph, asked.limit(3), limit=1)
     assert all(row["query_id"] == row["entity"] for row in found.collect())
+
+
+def test_shuffle_files_of_a_written_table_go_with_its_end(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    table = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting)
+    assert lineage.materialize(table, "grouped").count() == 7
+    assert spark.conf.get(setting) == kept
+    # The files are removed in the background.
+    for _ in range(50):
+        if disk.getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= before
